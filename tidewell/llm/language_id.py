@@ -24,7 +24,7 @@ SAMPLE_CHARACTERS = 1500
 DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 2048
 #: Texts are compared in lower case; matches of four bytes count, which is what tells short texts apart.
-SETTINGS = {"level": 6, "min_match": 4, "strategy": zstandard.STRATEGY_LAZY}
+LEVEL, MIN_MATCH, STRATEGY = 6, 4, zstandard.STRATEGY_LAZY
 #: A prediction is rejected if the second language needs less than this share of bytes more.
 NARROW = 0.005
 UNKNOWN = "und"
@@ -57,7 +57,7 @@ class Classifier:
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
-        settings = zstandard.ZstdCompressionParameters.from_level(**SETTINGS, write_content_size=False, write_checksum=False, write_dict_id=False)
+        settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, strategy=STRATEGY, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.compressors = []
         for name in self.languages:
             content = zstandard.ZstdCompressionDict(samples[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import language_id, line_dedup
+from tidewell.llm import language_id, line_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": language_id.query,
+    "op6_packing": packing.query,
     "op10_line_dedup": line_dedup.query,
 }
 
