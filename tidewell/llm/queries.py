@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import language_id, line_dedup, packing
+from tidewell.llm import language_id, line_dedup, mpeg_audio, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": language_id.query,
     "op6_packing": packing.query,
+    "op7_mpeg_audio": mpeg_audio.query,
+    "op8_token_counts": token_counts.query,
     "op10_line_dedup": line_dedup.query,
 }
 
