@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import language_id, line_dedup, mpeg_audio, packing, token_counts, word_bpe
+from tidewell.llm import language_id, line_dedup, mpeg_audio, packing, shingle_join, token_counts, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_word_bpe": word_bpe.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": packing.query,
     "op7_mpeg_audio": mpeg_audio.query,
     "op8_token_counts": token_counts.query,
+    "op9_shingle_join": shingle_join.query,
     "op10_line_dedup": line_dedup.query,
 }
 
