@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import language_id, line_dedup, mpeg_audio, packing, shingle_join, token_counts, word_bpe
+from tidewell.llm import embedding_join, language_id, line_dedup, mpeg_audio, packing, shingle_join, token_counts, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_join": embedding_join.query,
     "op2_word_bpe": word_bpe.query,
     "op5_language_id": language_id.query,
     "op6_packing": packing.query,
