@@ -123,7 +123,8 @@ class _Home:
         who = np.flatnonzero(linked.any(axis=1))
         first = linked[who].argmax(axis=1)
         row, home = np.nonzero(linked[who])
-        for a, b in zip(*np.divmod(np.unique(first[row] * len(self.reps) + home), len(self.reps)), strict=True):
+        anchor = first if same_from is None else same_from + who
+        for a, b in zip(*np.divmod(np.unique(anchor[row] * len(self.reps) + home), len(self.reps)), strict=True):
             x, y = self.root(int(a)), self.root(int(b))
             if x != y:
                 self.parent[max(x, y)] = min(x, y)
