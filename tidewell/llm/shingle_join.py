@@ -1,8 +1,8 @@
 """Exact similarity join of documents by the Jaccard similarity of their word shingles.
 
 Two sets whose Jaccard similarity is 0.85 or more share one of their rarest shingles, so
-each document's rarest shingles (about 15 %) stand in an inverted index. All documents of a
-list come together under its smallest document, whole sets with them, and there a
+each document's rarest shingles (about 15 %) stand in an inverted index. Documents of a list
+whose sizes fit come together under the smallest of them, whole sets with them, and there a
 T-occurrence search finds the links: the short inverted lists are merged by a heap, the
 long ones are probed by binary search (DivideSkip), and documents that reach the overlap
 are linked. Equal sets are one member from the start, and links inside a component that is
@@ -33,6 +33,10 @@ PERCENT = 85
 COUNTER_BITS = 18
 #: Slots of the filter that tells which documents have company in some list.
 SLOTS = 1 << 24
+#: Classes of shingles, by which the overlap of two sets is bounded.
+CLASSES = 256
+#: Groups up to this size are thinned by that bound before whole sets are moved.
+THINNED = 1000
 #: Shingles in a block of a group; larger groups are split.
 BLOCK_SHINGLES = 1 << 20
 #: Members that visit every block of a split group, about.
@@ -97,13 +101,13 @@ def shingle_counts(docs: DataFrame, text: str, size: int = WORDS) -> np.ndarray:
 
 
 def described(docs: DataFrame, key: str, text: str, size: int = WORDS) -> DataFrame:
-    """_doc, n, two sums that identify the set, and the set's rarest shingles."""
+    """_doc, n, two sums that identify the set, the set's rarest shingles, and how many are in each of CLASSES classes."""
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text, size))  # 2 ** COUNTER_BITS numbers
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            n, one, two, rare = [], [], [], []
+            n, one, two, rare, spread = [], [], [], [], []
             for s in _sets(batch.column(1), size):
                 need = len(s) - least_overlap(len(s)) + 1 if len(s) else 0
                 order = np.argsort(counts[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")[:need]
@@ -111,9 +115,10 @@ def described(docs: DataFrame, key: str, text: str, size: int = WORDS) -> DataFr
                 one.append(s.sum(dtype=np.uint64).view(np.int64))
                 two.append(mixed(s).sum(dtype=np.uint64).view(np.int64))
                 rare.append(s[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], names=["_doc", "n", "one", "two", "rare"])
+                spread.append(np.bincount(s & np.uint64(CLASSES - 1), minlength=CLASSES).astype(np.uint16 if len(s) < 1 << 16 else np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(spread, pa.binary())], names=["_doc", "n", "one", "two", "rare", "spread"])
 
-    return docs.select(key, text).mapInArrow(task, "_doc long, n long, one long, two long, rare array<long>")
+    return docs.select(key, text).mapInArrow(task, "_doc long, n long, one long, two long, rare array<long>, spread binary")
 
 
 def _slot(doc):
@@ -238,6 +243,35 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _thinned(routes: DataFrame) -> DataFrame:
+    """The rows (leader, _doc, n) whose documents may be linked with another of the group.
+
+    Two sets share no more of a class than the smaller number. A pair from the lower of a
+    group's two bands meets elsewhere.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            keep = np.ones(len(t), bool)
+            if len(t) <= THINNED:
+                n, top = t["n"].to_numpy(), t["top"].to_numpy()
+                spread = np.array([np.frombuffer(x, np.uint16 if len(x) == 2 * CLASSES else np.uint32) for x in t["spread"].to_pylist()])
+                keep[:] = False
+                for i in range(len(t) - 1):
+                    rest = slice(i + 1, None)
+                    fits = (top[rest] | top[i]) & (100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i]))
+                    j = np.flatnonzero(fits) + i + 1
+                    bound = np.minimum(spread[j], spread[i]).sum(axis=1, dtype=np.int64)
+                    j = j[(100 + PERCENT) * bound >= PERCENT * (n[j] + n[i])]
+                    keep[j] = True
+                    keep[i] |= len(j) > 0
+            if keep.any():
+                yield t.select(["leader", "_doc", "n"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
+
+    dealt = routes.select("leader", F.lit(0).alias("block"), "_doc", "n", "top", "spread").repartition("leader").sortWithinPartitions("leader", "_doc")
+    return dealt.mapInArrow(task, "leader long, _doc long, n long")
+
+
 def _searched(blocks: DataFrame) -> DataFrame:
     """Links (a, b) in each block of (leader, block, visitor, label, _doc, shingles).
 
@@ -271,14 +305,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     # equal sets are one member: the smallest document; empty ones are nobody's
     member = own.where("n > 0").select("n", "one", "two", "_doc", "rare").join(same, ["n", "one", "two"]).select("_doc", "first", "n", "rare")
     entries = member.where("_doc = first").select("_doc", "n", F.explode("rare").alias("shingle"))
-    lists = entries.groupBy("shingle").agg(F.min("_doc").alias("leader"), F.max("_doc").alias("last")).where("leader < last").select("shingle", "leader")
-    routes = written(entries.join(lists, "shingle").select("leader", "_doc", "n").distinct(), "routes")
-    sets = written(sets_of(docs, routes.select("_doc").distinct(), "_doc", "_text", size).join(routes.select("_doc").distinct(), "_doc", "left_semi").dropDuplicates(["_doc"]), "sets")
+    # of two sets, the larger has at most 100 / PERCENT times the shingles of the smaller
+    fits = F.expr(f"count(*) > 2 or count(*) = 2 and 100 * min(n) >= {PERCENT} * max(n)")
+    lists = entries.groupBy("shingle").agg(fits.alias("fits")).where("fits").select("shingle")
+    shared = written(entries.join(lists, "shingle", "left_semi"), "entries")
+    band = F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9)
+    banded = shared.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("top", F.col("band") == band)
+    leaders = banded.groupBy("shingle", "band").agg(F.min("_doc").alias("leader"), F.max("_doc").alias("last")).where("leader < last").select("shingle", "band", "leader")
+    # a group is a leader and a band; that two may get one number does no harm
+    routes = banded.join(leaders, ["shingle", "band"]).groupBy(F.xxhash64("leader", "band").alias("leader"), "_doc", "n").agg(F.max("top").alias("top"))
+    spread = own.groupBy("_doc", "n").agg(F.any_value("spread").alias("spread"))
+    routes = written(_thinned(written(routes, "routes").join(spread, ["_doc", "n"])), "routes")
+    sets = written(sets_of(docs, routes.select("_doc").distinct(), "_doc", "_text", size), "sets")
     # groups with many shingles are dealt over blocks
     groups = routes.groupBy("leader").agg((F.sum("n") / BLOCK_SHINGLES + 1).cast("long").alias("blocks"), F.count("*").alias("members"))
     seats = written(routes.join(groups, "leader").withColumn("block", F.pmod(F.xxhash64("_doc", "leader"), F.col("blocks"))), "seats")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    pivots = seats.where("blocks > 1").where((F.col("_doc") == F.col("leader")) | (F.pmod(F.xxhash64("_doc", F.lit(7)), F.col("members")) < PIVOTS))
+    pivots = seats.where("blocks > 1").where(F.pmod(F.xxhash64("_doc", F.lit(7)), F.col("members")) < PIVOTS)
     guests = pivots.withColumnRenamed("block", "home").withColumn("block", everywhere).where("block <> home")
     columns = ["leader", "block", "_doc"]
     first = seats.select(*columns, F.lit(0).alias("visitor")).union(guests.select(*columns, F.lit(1).alias("visitor"))).withColumn("label", F.lit(None).cast("long"))
