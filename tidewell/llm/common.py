@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +31,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def frequent(counts: DataFrame, n: str, size: int) -> DataFrame:
+    """The rows of `counts` with the largest `n`, `size` at most.
+
+    They are cut at a level of `n`, of which there are few, so no partition has to send its
+    own largest rows to the driver. Rows of equal `n` stay together.
+    """
+    level = F.floor(F.log2(n) * 16)
+    left, least = size, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["level"]
+    return counts.where(level >= least) if least is not None else counts.where(F.lit(False))

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import embedding_join, language_id, line_dedup, mpeg_audio, packing, personal_data, shingle_join, token_counts, word_bpe
+from tidewell.llm import embedding_join, language_id, line_dedup, maxent, mpeg_audio, packing, personal_data, shingle_join, token_counts, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_join": embedding_join.query,
     "op2_word_bpe": word_bpe.query,
+    "op3_maxent": maxent.query,
     "op4_personal_data": personal_data.query,
     "op5_language_id": language_id.query,
     "op6_packing": packing.query,

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.arrays import CHUNK_BYTES, flat_ranges, span_hashes
 from tidewell.llm.byte_bpe import byte_characters
-from tidewell.llm.common import table, written
+from tidewell.llm.common import frequent, table, written
 from tidewell.llm.pretoken import code_points, word_spans
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -236,14 +236,7 @@ def word_counts(docs: DataFrame, text: str = "text", path: str = TOKENIZER) -> D
 def lexicon(docs: DataFrame, text: str = "text", path: str = TOKENIZER, size: int = LEXICON_WORDS) -> bytes:
     """The most frequent words of `docs`, `size` at most, compiled. Only these reach the driver."""
     vocabulary = Vocabulary(path)
-    counts = written(word_counts(docs, text, path), "word-counts").withColumn("level", F.floor(F.log2("n") * 16))
-    # the levels are few, so the driver can tell from how many words each has where to stop
-    left, least = size, None
-    for level, words in sorted(((r.level, r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True):
-        if words > left:
-            break
-        left, least = left - words, level
-    top = counts.where(F.col("level") >= least).select("word").collect() if least is not None else []
+    top = frequent(written(word_counts(docs, text, path), "word-counts"), "n", size).select("word").collect()
     return compiled({r.word.encode(): vocabulary.merge(r.word) for r in top})
 
 
