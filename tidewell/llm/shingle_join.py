@@ -27,7 +27,7 @@ from tidewell.llm.common import table, written
 from tidewell.llm.components import components
 
 WORDS = 4
-#: Sets are linked if 100 * intersection >= PERCENT * union.
+#: Sets are linked if 100 * intersection >= PERCENT * union, unless a caller says otherwise.
 PERCENT = 85
 #: Counters that tell frequent shingles from rare ones; they only set the order of shingles.
 COUNTER_BITS = 18
@@ -47,9 +47,9 @@ MU = 0.0085
 _WEIGHTS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def least_overlap(n: int) -> int:
+def least_overlap(n: int, percent: int = PERCENT) -> int:
     """Shingles that a set of n must share with any set that it is linked with."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> Iterator[np.ndarray]:
@@ -100,7 +100,7 @@ def shingle_counts(docs: DataFrame, text: str, size: int = WORDS) -> np.ndarray:
     return out
 
 
-def described(docs: DataFrame, key: str, text: str, size: int = WORDS) -> DataFrame:
+def described(docs: DataFrame, key: str, text: str, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """_doc, n, two sums that identify the set, the set's rarest shingles, and how many are in each of CLASSES classes."""
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text, size))  # 2 ** COUNTER_BITS numbers
 
@@ -109,7 +109,7 @@ def described(docs: DataFrame, key: str, text: str, size: int = WORDS) -> DataFr
         for batch in batches:
             n, one, two, rare, spread = [], [], [], [], []
             for s in _sets(batch.column(1), size):
-                need = len(s) - least_overlap(len(s)) + 1 if len(s) else 0
+                need = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
                 order = np.argsort(counts[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")[:need]
                 n.append(len(s))
                 one.append(s.sum(dtype=np.uint64).view(np.int64))
@@ -149,7 +149,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int =
 class Block:
     """Sets side by side, with an inverted index of the shingles that several of them have."""
 
-    def __init__(self, sets: list[np.ndarray], labels: list[int]):
+    def __init__(self, sets: list[np.ndarray], labels: list[int], percent: int = PERCENT):
+        self.percent = percent
         self.sizes = [len(s) for s in sets]
         self.labels = labels  # equal: known to be in one component
         members: dict[int, list[int]] = {}
@@ -172,7 +173,7 @@ class Block:
 
     def search(self, q: int) -> list[int]:
         """Sets outside the component of q that are linked with it, one of each component at least."""
-        need = least_overlap(self.sizes[q])
+        need = least_overlap(self.sizes[q], self.percent)
         mine = self.mine[self.cuts[q] : self.cuts[q + 1]]
         if not need or len(mine) < need:
             return []
@@ -186,7 +187,7 @@ class Block:
             if self.labels[d] in seen:
                 continue
             n = sum(1 for _ in run)
-            enough = -(-PERCENT * (self.sizes[q] + self.sizes[d]) // (100 + PERCENT))
+            enough = -(-self.percent * (self.sizes[q] + self.sizes[d]) // (100 + self.percent))
             if n < enough - aside:
                 continue
             left = aside
@@ -243,7 +244,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _thinned(routes: DataFrame) -> DataFrame:
+def _thinned(routes: DataFrame, percent: int) -> DataFrame:
     """The rows (leader, _doc, n) whose documents may be linked with another of the group.
 
     Two sets share no more of a class than the smaller number. A pair from the lower of a
@@ -259,10 +260,10 @@ def _thinned(routes: DataFrame) -> DataFrame:
                 keep[:] = False
                 for i in range(len(t) - 1):
                     rest = slice(i + 1, None)
-                    fits = (top[rest] | top[i]) & (100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i]))
+                    fits = (top[rest] | top[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
                     j = np.flatnonzero(fits) + i + 1
                     bound = np.minimum(spread[j], spread[i]).sum(axis=1, dtype=np.int64)
-                    j = j[(100 + PERCENT) * bound >= PERCENT * (n[j] + n[i])]
+                    j = j[(100 + percent) * bound >= percent * (n[j] + n[i])]
                     keep[j] = True
                     keep[i] |= len(j) > 0
             if keep.any():
@@ -272,7 +273,7 @@ def _thinned(routes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(task, "leader long, _doc long, n long")
 
 
-def _searched(blocks: DataFrame) -> DataFrame:
+def _searched(blocks: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) in each block of (leader, block, visitor, label, _doc, shingles).
 
     Without labels all are compared, else each visitor with the rest.
@@ -281,7 +282,7 @@ def _searched(blocks: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             docs, visits, labels = (t[c].to_pylist() for c in ("_doc", "visitor", "label"))
-            block = Block([np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()], [i if x is None else x for i, x in enumerate(labels)])
+            block = Block([np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()], [i if x is None else x for i, x in enumerate(labels)], percent)
             if labels[0] is None:
                 pairs = [*block.links()]
             else:
@@ -293,29 +294,29 @@ def _searched(blocks: DataFrame) -> DataFrame:
     return dealt.mapInArrow(task, "a long, b long")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """_doc, n and component of every row with a key.
 
     Rows with one key are one node, whose links are those of all its rows. A text that is
     null, empty or white space has n 0 and no link. `docs` may have any other columns.
     """
     docs = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).where("_doc is not null")
-    own = written(described(docs, "_doc", "_text", size), "shingle-sets")
+    own = written(described(docs, "_doc", "_text", size, percent), "shingle-sets")
     same = own.groupBy("n", "one", "two").agg(F.min("_doc").alias("first"))
     # equal sets are one member: the smallest document; empty ones are nobody's
     member = own.where("n > 0").select("n", "one", "two", "_doc", "rare").join(same, ["n", "one", "two"]).select("_doc", "first", "n", "rare")
     entries = member.where("_doc = first").select("_doc", "n", F.explode("rare").alias("shingle"))
-    # of two sets, the larger has at most 100 / PERCENT times the shingles of the smaller
-    fits = F.expr(f"count(*) > 2 or count(*) = 2 and 100 * min(n) >= {PERCENT} * max(n)")
+    # of two sets, the larger has at most 100 / percent times the shingles of the smaller
+    fits = F.expr(f"count(*) > 2 or count(*) = 2 and 100 * min(n) >= {percent} * max(n)")
     lists = entries.groupBy("shingle").agg(fits.alias("fits")).where("fits").select("shingle")
     shared = written(entries.join(lists, "shingle", "left_semi"), "entries")
-    band = F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9)
+    band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
     banded = shared.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("top", F.col("band") == band)
     leaders = banded.groupBy("shingle", "band").agg(F.min("_doc").alias("leader"), F.max("_doc").alias("last")).where("leader < last").select("shingle", "band", "leader")
     # a group is a leader and a band; that two may get one number does no harm
     routes = banded.join(leaders, ["shingle", "band"]).groupBy(F.xxhash64("leader", "band").alias("leader"), "_doc", "n").agg(F.max("top").alias("top"))
     spread = own.groupBy("_doc", "n").agg(F.any_value("spread").alias("spread"))
-    routes = written(_thinned(written(routes, "routes").join(spread, ["_doc", "n"])), "routes")
+    routes = written(_thinned(written(routes, "routes").join(spread, ["_doc", "n"]), percent), "routes")
     sets = written(sets_of(docs, routes.select("_doc").distinct(), "_doc", "_text", size), "sets")
     # groups with many shingles are dealt over blocks
     groups = routes.groupBy("leader").agg((F.sum("n") / BLOCK_SHINGLES + 1).cast("long").alias("blocks"), F.count("*").alias("members"))
@@ -325,7 +326,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     guests = pivots.withColumnRenamed("block", "home").withColumn("block", everywhere).where("block <> home")
     columns = ["leader", "block", "_doc"]
     first = seats.select(*columns, F.lit(0).alias("visitor")).union(guests.select(*columns, F.lit(1).alias("visitor"))).withColumn("label", F.lit(None).cast("long"))
-    links = written(_searched(first.join(sets, "_doc")), "links")
+    links = written(_searched(first.join(sets, "_doc"), percent), "links")
     split = seats.where("blocks > 1")
     if not split.isEmpty():
         # between blocks: whoever isn't in a group's largest component visits its other blocks
@@ -337,7 +338,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
         columns = ["leader", "block", "_doc"]
         second = labelled.select(*columns, F.lit(0).alias("visitor"), "label").union(visitors.select(*columns, F.lit(1).alias("visitor"), "label"))
         met = second.join(visitors.select("leader", "block").distinct(), ["leader", "block"], "left_semi")
-        links = links.union(written(_searched(met.join(sets, "_doc")), "links"))
+        links = links.union(written(_searched(met.join(sets, "_doc"), percent), "links"))
     # rows with one key but different sets are tied together by their edges
     tied = member.where("_doc <> first").select(F.col("_doc").alias("a"), F.col("first").alias("b"))
     found = components(links.union(tied))
