@@ -42,3 +42,9 @@ def event_time(text: Column) -> Column:
     dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
     zoned = F.when(dated.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), dated).otherwise(F.concat(dated, F.lit("Z")))
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), utc_milliseconds(zoned.try_cast("timestamp")))
+
+
+def cut_to_milliseconds(ts: Column) -> Column:
+    """A TIMESTAMP_NTZ without what is below a millisecond."""
+    micros = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long") % 1000
+    return F.timestamp_add("MICROSECOND", -micros, ts)
