@@ -63,6 +63,7 @@ def cleaned(docs: DataFrame, text: str = "text", source: str = "source", sites:
     at = whole.select(*by_text, F.posexplode(_lines(F.col("_text"))).alias("_at", "_one")).where(F.trim("_one") != "").select("_hash", "_length", "_at", F.length("_one").alias("_size"), _key(F.col("_one")).alias("_line"))
     hit = at.join(wide, "_line", "left_semi").groupBy("_hash", "_length").agg(F.collect_set(F.struct("_at", "_size")).alias("_hit"))
     hit = hit.withColumn("_mostly", F.aggregate("_hit", F.lit(0).cast("long"), lambda n, x: n + x["_size"]) > MOSTLY * F.col("_length")).withColumn("_gone", F.transform("_hit", lambda x: x["_at"])).drop("_hit")
+    hit = written(hit, "line-hits")  # a table of its own, so that the join below may split the copies of one text
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")).select("_row", "_text", *by_text)
     both = own.join(hit, ["_hash", "_length"], "left")
     goes = F.col("_gone").isNotNull() & ~F.coalesce("_mostly", F.lit(False))
