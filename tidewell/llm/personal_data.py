@@ -153,6 +153,7 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     by_text = spans(docs, text).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("start", order.alias("order"), "end", "kind", "base"))).alias("_spans"))
+    by_text = written(by_text, "text-spans")  # a table of its own, so that the join below may split the copies of one text
     own = docs.select(F.col(key).alias("_doc"), *_text_key(F.col(text)))
     all_ = F.coalesce("_spans", F.array().cast("array<struct<start:bigint,order:bigint,end:bigint,kind:string,base:boolean>>"))
     both = own.join(by_text, _KEY, "left").select("_doc", all_.alias("_spans"))
@@ -172,6 +173,7 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     islands = spans(docs, text).withColumn("_new", (F.coalesce(before, F.lit(0)) <= F.col("start")).cast("int")).withColumn("_island", F.sum("_new").over(order))
     islands = islands.groupBy(*_KEY, "_island").agg(F.min(F.struct("start", "end", "kind")).alias("_first"), F.max("end").alias("end"))
     cuts = islands.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct(F.col("_first.start").alias("start"), "end", F.col("_first.kind").alias("kind")))).alias("_cuts"))
+    cuts = written(cuts, "text-cuts")  # as in `found`
     t = F.col("_row")[text]
     own = docs.select(F.struct(*docs.columns).alias("_row"), *_text_key(F.col(text))).join(cuts, _KEY, "left")
 
