@@ -302,7 +302,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """
     docs = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).where("_doc is not null")
     own = written(described(docs, "_doc", "_text", size, percent), "shingle-sets")
-    same = own.groupBy("n", "one", "two").agg(F.min("_doc").alias("first"))
+    # a table of its own, so that the join below may split the copies of one text
+    same = written(own.groupBy("n", "one", "two").agg(F.min("_doc").alias("first")), "set-classes")
     # equal sets are one member: the smallest document; empty ones are nobody's
     member = own.where("n > 0").select("n", "one", "two", "_doc", "rare").join(same, ["n", "one", "two"]).select("_doc", "first", "n", "rare")
     entries = member.where("_doc = first").select("_doc", "n", F.explode("rare").alias("shingle"))
