@@ -65,7 +65,8 @@ def cleaned(docs: DataFrame, text: str = "text", source: str = "source", sites:
     hit = hit.withColumn("_mostly", F.aggregate("_hit", F.lit(0).cast("long"), lambda n, x: n + x["_size"]) > MOSTLY * F.col("_length")).withColumn("_gone", F.transform("_hit", lambda x: x["_at"])).drop("_hit")
     hit = written(hit, "line-hits")  # a table of its own, so that the join below may split the copies of one text
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")).select("_row", "_text", *by_text)
-    both = own.join(hit, ["_hash", "_length"], "left")
+    # the hits grow with the input, so they are never broadcast: the plan is the same at every size
+    both = own.join(hit.hint("merge"), ["_hash", "_length"], "left")
     goes = F.col("_gone").isNotNull() & ~F.coalesce("_mostly", F.lit(False))
     rest = F.array_join(F.filter(_lines(F.col("_text")), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     out = [F.when(goes, rest).otherwise(F.col("_text")).alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
