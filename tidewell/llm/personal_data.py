@@ -175,7 +175,8 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     cuts = islands.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct(F.col("_first.start").alias("start"), "end", F.col("_first.kind").alias("kind")))).alias("_cuts"))
     cuts = written(cuts, "text-cuts")  # as in `found`
     t = F.col("_row")[text]
-    own = docs.select(F.struct(*docs.columns).alias("_row"), *_text_key(F.col(text))).join(cuts, _KEY, "left")
+    # the cuts grow with the input, so they are never broadcast: the plan is the same at every size
+    own = docs.select(F.struct(*docs.columns).alias("_row"), *_text_key(F.col(text))).join(cuts.hint("merge"), _KEY, "left")
 
     def piece(cut: Column, i: Column) -> Column:
         start = F.when(i == 0, F.lit(0)).otherwise(F.get("_cuts", i - 1)["end"]).cast("int")
