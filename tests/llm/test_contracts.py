@@ -270,6 +270,13 @@ def test_lines_are_counted_by_site_not_by_row(spark):
     assert out[3] == ("own 3 text of this page only\nend 3",) and out[103] == ("mine 3 and more of it\nlocal\nlast 3",)
 
 
+def test_lines_go_from_documents_that_are_mostly_shared_lines(spark):
+    rows = [(i, f"own {i}\n{'shared by all ' * 9}\nend {i}", f"s{i}") for i in range(4)] + [(9, f"{'shared by all ' * 9}\n \t \n{'shared by all ' * 9}", "s0")]
+    out = by_id(line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string"), sites=4, counts=True), "text", "n_boilerplate", "kept_whole")
+    assert [out[i] for i in range(4)] == [(f"own {i}\nend {i}", 1, False) for i in range(4)]
+    assert out[9] == (rows[4][1], 2, True)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -3,8 +3,10 @@
 A line's spread is the number of distinct sites (values of `source`) that have it. Sketches
 of the sites are merged for each line hash; where a sketch says that a line is near the
 threshold, its distinct sites are counted exactly. Lines at or above the threshold are
-boilerplate and go, from every document but those that consist mostly of such lines: these
-are copies rather than pages with boilerplate, and are left whole to the near-duplicate join.
+boilerplate and go, from every document but those that have no other line with more than white
+space: these are copies rather than pages with boilerplate, and are left whole to the
+near-duplicate join. The query op10_line_dedup follows its SQL instead, which leaves documents
+whole by the share of their characters in such lines.
 
 Only DataFrame functions are used.
 """
@@ -22,7 +24,7 @@ SITES = 10
 REGISTERS = 9
 #: Estimates this far from SITES, as a share, are trusted.
 TRUSTED = 0.25
-#: A document with more than this share of its characters in such lines is left whole.
+#: The query leaves a document with more than this share of its characters in such lines whole, as its SQL does.
 MOSTLY = 0.5
 
 
@@ -49,9 +51,11 @@ def boilerplate(docs: DataFrame, text: str = "text", source: str = "source", sit
     return written(wide.where(F.col("_spread") > sites * (1 + TRUSTED)).select("_line").union(exact), "boilerplate")
 
 
-def cleaned(docs: DataFrame, text: str = "text", source: str = "source", sites: int = SITES, counts: bool = False) -> DataFrame:
+def cleaned(docs: DataFrame, text: str = "text", source: str = "source", sites: int = SITES, counts: bool = False, mostly: float | None = None) -> DataFrame:
     """`docs` with boilerplate lines taken out of `text`; all columns and rows stay.
 
+    A document is left whole only where no line with more than white space would stay; with
+    `mostly`, instead, where more than this share of its characters are in boilerplate lines.
     With `counts`, the columns n_lines, n_boilerplate and kept_whole follow. A null text
     stays null with no lines, an empty one has one line. Repeated rows are treated alike.
     The lines that stay keep their order and their white space.
@@ -62,14 +66,15 @@ def cleaned(docs: DataFrame, text: str = "text", source: str = "source", sites:
     by_text = [F.xxhash64("_text").alias("_hash"), F.length("_text").alias("_length")]
     at = whole.select(*by_text, F.posexplode(_lines(F.col("_text"))).alias("_at", "_one")).where(F.trim("_one") != "").select("_hash", "_length", "_at", F.length("_one").alias("_size"), _key(F.col("_one")).alias("_line"))
     hit = at.join(wide, "_line", "left_semi").groupBy("_hash", "_length").agg(F.collect_set(F.struct("_at", "_size")).alias("_hit"))
-    hit = hit.withColumn("_mostly", F.aggregate("_hit", F.lit(0).cast("long"), lambda n, x: n + x["_size"]) > MOSTLY * F.col("_length")).withColumn("_gone", F.transform("_hit", lambda x: x["_at"])).drop("_hit")
+    hit = hit.withColumn("_size", F.aggregate("_hit", F.lit(0).cast("long"), lambda n, x: n + x["_size"])).withColumn("_gone", F.transform("_hit", lambda x: x["_at"])).drop("_hit")
     hit = written(hit, "line-hits")  # a table of its own, so that the join below may split the copies of one text
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")).select("_row", "_text", *by_text)
     # the hits grow with the input, so they are never broadcast: the plan is the same at every size
     both = own.join(hit.hint("merge"), ["_hash", "_length"], "left")
-    goes = F.col("_gone").isNotNull() & ~F.coalesce("_mostly", F.lit(False))
     rest = F.array_join(F.filter(_lines(F.col("_text")), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    out = [F.when(goes, rest).otherwise(F.col("_text")).alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
+    both = both.withColumn("_rest", F.when(F.col("_gone").isNotNull(), rest))
+    goes = F.coalesce(F.col("_rest").rlike(r"\S") if mostly is None else F.col("_size") <= mostly * F.col("_length"), F.lit(False))
+    out = [F.when(goes, F.col("_rest")).otherwise(F.col("_text")).alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
     if counts:
         out += [
             F.coalesce(F.size(_lines(F.col("_text"))), F.lit(0)).cast("long").alias("n_lines"),
@@ -81,7 +86,7 @@ def cleaned(docs: DataFrame, text: str = "text", source: str = "source", sites:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = cleaned(docs, counts=True)
+    out = cleaned(docs, counts=True, mostly=MOSTLY)
     return out.select("doc_id", "n_lines", "n_boilerplate", "kept_whole", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
