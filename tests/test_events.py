@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators.analytics import active, as_json, envelope, sessions, timeline, timeseries, top
+from tidewell.plans import catalog
 from tidewell.requests import ActiveRequest, SessionsRequest, TenantScope, TimelineRequest, TimeSeriesRequest, TopRequest
 from tidewell.schema import EVENT_SCHEMA
 from tidewell.sources import events_table
@@ -100,6 +101,19 @@ def test_arrays_count_element_by_element(spark):
     assert sorted(r.session_id for r in valid(batched_events(bodies)).collect()) == ["s", "z"]
 
 
+def test_large_bodies_are_invalid_not_lost(spark):
+    bodies = spark.createDataFrame([(f"[{payload(itemId='x' * (1 << 20))}]",), (f"[{payload()}]",)], "value string")
+    assert sorted(r.is_valid for r in batched_events(bodies).collect()) == [False, True]
+
+
+def test_batches_stay_small_enough_whatever_the_events(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "BATCH_BYTES", 1 << 30)  # all in one batch before it is cut
+    rows = [(DAY, {"event_id": str(i), "metadata_json": json.dumps({"k": "x" * (600_000 if i < 3 else 30_000)})}) for i in range(80)]
+    batches = catalog._batched(events(spark, *rows))
+    assert batches.where(F.octet_length("value") > 1 << 20).count() == 0
+    assert valid(batched_events(batches)).count() == sum(i % 7 != 0 and i % 11 != 0 for i in range(80))
+
+
 def test_stored_duplicates_and_expired_rows_go_when_compacted(spark, tmp_path):
     path, target = str(tmp_path / "a"), str(tmp_path / "b")
     now = DAY + timedelta(days=90)

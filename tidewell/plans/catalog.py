@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.config import EngineConfig
 from tidewell.operators.analytics import active, sessions, sessions_summary, timeline, timeseries, top, total_count
 from tidewell.requests import ActiveRequest, SessionsRequest, TenantScope, TimelineRequest, TimeSeriesRequest, TopRequest
 from tidewell.sources.events_table import deduplicated, retained
@@ -22,6 +23,8 @@ BEFORE, NOW = datetime(2024, 1, 15), datetime(2024, 4, 10)
 LIMIT, PAGE, RETENTION_DAYS = 10_000, 100, 90
 #: Share by which an approximate count may differ from the exact one.
 TOLERANCE = 0.05
+#: Bytes of events in a batch, on average and at most; a longer event has a batch of its own.
+BATCH_BYTES, MOST_BATCH_BYTES = EngineConfig().max_body_bytes // 4, EngineConfig().max_body_bytes // 2
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -72,8 +75,15 @@ FROM e WHERE event_id::BIGINT % 7 <> 0 AND event_id::BIGINT % 11 <> 0"""
 
 
 def _batched(events: DataFrame) -> DataFrame:
-    lines = as_lines(_arrived(events)).withColumn("batch", F.pmod(F.xxhash64("value"), F.lit(1000)))
-    return lines.groupBy("batch").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    """The events in JSON arrays, as many as their bytes ask for; none is larger than a body may be."""
+    lines = as_lines(_arrived(events)).withColumn("size", F.octet_length("value") + 1)
+    batches = (lines.agg(F.sum("size")).first()[0] or 0) // BATCH_BYTES + 1
+    before = Window.partitionBy("batch").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    long = F.col("size") > MOST_BATCH_BYTES
+    # a batch that came out large is cut, with its long events apart
+    part = F.when(long, -1 - F.count("*").over(before)).otherwise(F.floor(F.coalesce(F.sum(F.when(~long, F.col("size"))).over(before), F.lit(0)) / MOST_BATCH_BYTES))
+    lines = lines.withColumn("batch", F.pmod(F.xxhash64("value"), F.lit(batches))).withColumn("part", part)
+    return lines.groupBy("batch", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
 
 
 _timeline("timeline", "true")

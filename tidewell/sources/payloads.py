@@ -47,9 +47,10 @@ def single_events(bodies: DataFrame, received: Column | None = None, value: str
 
 
 def batched_events(bodies: DataFrame, received: Column | None = None, value: str = "value", config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Each row's `value` is an array of events, which count one by one. An array that can't be read has none."""
-    small = bodies.where(F.octet_length(F.col(value)) <= config.max_body_bytes)
-    each = small.select(F.explode(F.from_json(F.col(value), f"array<{_OBJECT}>")).alias("_fields"))
+    """Each row's `value` is an array of events, which count one by one. An array that can't be read has none, one that is too large is one invalid event."""
+    large = F.octet_length(F.col(value)) > config.max_body_bytes
+    fields = F.when(large, F.array(F.lit(None).cast(_OBJECT))).otherwise(F.from_json(F.col(value), f"array<{_OBJECT}>"))
+    each = bodies.select(F.explode(fields).alias("_fields"))
     columns, ok = _typed(F.col("_fields"), _received(received))
     return each.select(*columns, ok.alias("is_valid"))
 
