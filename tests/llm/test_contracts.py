@@ -212,6 +212,16 @@ def test_audio_is_found_again_after_noise_and_damage():
         assert mpeg_audio.parse(odd).offsets == []
 
 
+def test_audio_with_a_tag_inside_the_last_frame():
+    payload = b"x" * 1289 + b"TAG" + b"y" * 116
+    data, tag = mpeg_audio.build(payload), b"TAG" + b"title".ljust(125, b"\0")
+    assert data[-128:-125] == b"TAG"
+    for more, title in ((b"", None), (tag, "title")):
+        audio = mpeg_audio.parse(data + more)
+        assert (mpeg_audio.payload_of(data, audio), audio.skipped, audio.tags.get("TIT2")) == (payload, 0, title)
+    assert mpeg_audio.parse(data[:-10] + tag).tags["TIT2"] == "title"
+
+
 def test_piece_counts(documents, rows, empty):
     pieces = token_counts.vocabulary()
     longest, seen = max(map(len, pieces)), {}

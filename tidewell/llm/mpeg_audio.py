@@ -107,7 +107,7 @@ def _text(value: bytes) -> str:
 
 
 def _tags(data: bytes, out: Audio) -> tuple[int, int]:
-    """Reads ID3 tags at either end; what lies between them."""
+    """Reads ID3v2 tags; where they end, and where an ID3v1 tag may begin."""
     at, end = 0, len(data)
     while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
         sized = _seven_bits if data[at + 3] >= 4 else lambda x: int.from_bytes(x, "big")
@@ -123,11 +123,16 @@ def _tags(data: bytes, out: Audio) -> tuple[int, int]:
         at = stop + 10 * bool(data[at + 5] & 0x10)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        for name, low, high in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            out.tags.setdefault(name, data[end + low : end + high].decode("latin-1").strip("\0 "))
     return at, end
 
 
+def _closes(data: bytes, at: int, h: Header) -> bool:
+    """Whether the frames from `at` on follow each other up to the last byte."""
+    while at < len(data) and (n := header(data[at : at + 4])) is not None and n.like(h):
+        at += n.length
+    return at == len(data)
+
+
 def _table(data: bytes, at: int, h: Header, out: Audio) -> bool:
     """Reads a variable-bitrate table, if the frame at `at` is one."""
     p = at + 4 + 2 * h.checked + h.side_bytes
@@ -154,13 +159,18 @@ def _table(data: bytes, at: int, h: Header, out: Audio) -> bool:
 
 
 def parse(data: bytes) -> Audio:
-    """Reads a file. What isn't a frame is skipped; a frame counts if another of its kind, or the end, follows it."""
+    """Reads a file. What isn't a frame is skipped; a frame counts if another of its kind, or the end, follows it.
+
+    What looks like an ID3v1 tag is one unless it lies in frames that fill the file to its last byte.
+    """
     out = Audio()
     at, end = _tags(data, out)
     first: Header | None = None
     lost = False
     while at + 4 <= end:
         h = header(data[at : at + 4])
+        if h is not None and end < min(len(data), at + h.length) and (first is None or h.like(first)) and _closes(data, at, h):
+            end = len(data)
         fits = h is not None and at + h.length <= end and (first is None or h.like(first))
         if fits and (first is None or lost):
             following = header(data[at + h.length : at + h.length + 4]) if at + h.length < end else h
@@ -187,6 +197,9 @@ def parse(data: bytes) -> Audio:
         out.kbits.add(h.kbits)
         out.samples += h.samples
         at += h.length
+    if end < len(data):
+        for name, low, high in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
+            out.tags.setdefault(name, data[end + low : end + high].decode("latin-1").strip("\0 "))
     return out
 
 
