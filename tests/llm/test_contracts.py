@@ -261,6 +261,13 @@ def test_large_groups_are_split_without_losing_links(spark, monkeypatch):
         assert by_id(shingle_join.classes(docs, size=size, percent=percent), "n", "component", key="_doc") == brute.near_copies(rows, size, percent)
 
 
+def test_rows_with_one_key_and_size_keep_their_own_links(spark):
+    one, two = ([f"{k}{i}" for i in range(60)] for k in "ab")
+    rows = [(1, one), (1, two), (2, [*one[:-1], "x"]), (3, [*two[:-1], "y"])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {(r["_doc"], r.component) for r in shingle_join.classes(docs).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_lines_agree_with_sql(spark):
     got, want = compared("op10_line_dedup", spark)
     assert got == want

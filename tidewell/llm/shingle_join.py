@@ -44,6 +44,8 @@ PIVOTS = 16
 #: DivideSkip sets aside T / (MU * log2(longest list) + 1) lists for probing.
 MU = 0.0085
 
+#: Stands for the numbers in each class where they aren't known.
+_FULL = b"\xff" * (4 * CLASSES)
 _WEIGHTS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -247,8 +249,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _thinned(routes: DataFrame, percent: int) -> DataFrame:
     """The rows (leader, _doc, n) whose documents may be linked with another of the group.
 
-    Two sets share no more of a class than the smaller number. A pair from the lower of a
-    group's two bands meets elsewhere.
+    Two sets share no more of a class than the smaller number; where `spread` is null, any
+    number. A pair from the lower of a group's two bands meets elsewhere.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +258,7 @@ def _thinned(routes: DataFrame, percent: int) -> DataFrame:
             keep = np.ones(len(t), bool)
             if len(t) <= THINNED:
                 n, top = t["n"].to_numpy(), t["top"].to_numpy()
-                spread = np.array([np.frombuffer(x, np.uint16 if len(x) == 2 * CLASSES else np.uint32) for x in t["spread"].to_pylist()])
+                spread = np.array([np.frombuffer(x or _FULL, np.uint16 if x and len(x) == 2 * CLASSES else np.uint32) for x in t["spread"].to_pylist()])
                 keep[:] = False
                 for i in range(len(t) - 1):
                     rest = slice(i + 1, None)
@@ -316,7 +318,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     leaders = banded.groupBy("shingle", "band").agg(F.min("_doc").alias("leader"), F.max("_doc").alias("last")).where("leader < last").select("shingle", "band", "leader")
     # a group is a leader and a band; that two may get one number does no harm
     routes = banded.join(leaders, ["shingle", "band"]).groupBy(F.xxhash64("leader", "band").alias("leader"), "_doc", "n").agg(F.max("top").alias("top"))
-    spread = own.groupBy("_doc", "n").agg(F.any_value("spread").alias("spread"))
+    # a row's classes don't bound the links of another row with its key and size
+    alike = (F.min("one") == F.max("one")) & (F.min("two") == F.max("two"))
+    spread = own.groupBy("_doc", "n").agg(F.when(alike, F.any_value("spread")).alias("spread"))
     routes = written(_thinned(written(routes, "routes").join(spread, ["_doc", "n"]), percent), "routes")
     sets = written(sets_of(docs, routes.select("_doc").distinct(), "_doc", "_text", size), "sets")
     # groups with many shingles are dealt over blocks
