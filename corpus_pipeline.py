@@ -2,9 +2,9 @@
 personal data, and packing into windows, in this order.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All
-but the last return the columns of `docs`, whatever these are. Rows with null doc_id are kept
-by the first two stages and dropped by the third, which can't tell them apart. Null and
-empty texts have no language and go in the first stage. An empty table gives empty results.
+but the last return the columns of `docs`, whatever these are. Rows with null or repeated
+doc_id are documents like others. Null and empty texts have no language and go in the first
+stage. An empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -32,9 +32,12 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest doc_id. Of rows with one doc_id, one stays."""
-    kept = shingle_join.classes(docs, size=NEAR_DUPLICATE_WORDS, percent=80).where("_doc = component").select(F.col("_doc").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: the smallest doc_id, null after all others. Of rows with one doc_id and one text, one stays."""
+    keyed = docs.withColumn("_own_key", F.xxhash64("doc_id", "text"))
+    found = shingle_join.classes(keyed, key="_own_key", size=NEAR_DUPLICATE_WORDS, percent=80).select(F.col("_doc").alias("_own_key"), "component")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_own_key"))["_own_key"]
+    kept = keyed.select("_own_key", "doc_id").distinct().join(found.distinct(), "_own_key").groupBy("component").agg(first.alias("_own_key")).select("_own_key")
+    return keyed.join(kept, "_own_key", "left_semi").dropDuplicates(["_own_key"]).drop("_own_key")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -294,6 +294,15 @@ def test_lines_go_from_documents_that_are_mostly_shared_lines(spark):
     assert out[9] == (rows[4][1], 2, True)
 
 
+def test_documents_with_null_or_repeated_ids_stay_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (8, text["d"] + " end"), (None, text["c"] + " end")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(((r.doc_id or 0), r.text) for r in out.collect()) == [(0, text["a"]), (0, text["b"]), (7, text["c"]), (7, text["d"])]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
