@@ -116,18 +116,18 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
     Rows with equal keys are packed one by one; rows with null keys too. An empty table
     gives an empty one. Equal lengths are taken in order of key and start, so a group that
-    is packed again comes out the same.
+    is packed again comes out the same. Equal rows are dealt over the groups like others.
     """
-    cut = written(pieces(docs, key, text, window, tokenizer), "pieces")
+    cut = written(pieces(docs, key, text, window, tokenizer).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     groups = cut.count() // GROUP_PIECES + 1
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    group = F.pmod(F.xxhash64("doc_id", "start", "_row"), F.lit(groups))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
         at, offsets = best_fit(rows["length"].tolist(), window)
         rows["sequence_id"] = (rows["_group"].to_numpy() << 40) + np.array(at, np.int64)
         rows["offset"] = np.array(offsets, np.int64)
-        return rows.drop(columns="_group")
+        return rows.drop(columns=["_group", "_row"])
 
     schema = f"doc_id {cut.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return cut.withColumn("_group", group).groupBy("_group").applyInPandas(pack, schema)
