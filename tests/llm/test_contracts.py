@@ -15,6 +15,13 @@ from tidewell.llm.queries import QUERIES
 
 SF = f"{DATA}/sf0.001"
 LONG = "word pair and more " * 3000
+
+
+def thue_morse(pair):
+    """The two letters in the order that makes sums of powers equal if they are swapped."""
+    return "".join(pair[i.bit_count() % 2] for i in range(2048))
+
+
 AWKWARD = [
     None, "", " \n\t ", "a", "two words", "Ünïcode ΣΑΣ İstanbul ﬁ é 日本語 テスト", "x" * 30_000, LONG, LONG, LONG + "end", "<|startoftext|> a <|endoftext|>", "don't you'll I'VE 12345 1e5 $%^&*", "a b c​d\x1ce\x85f",
     "mail a.b+c@x-y.co.uk, a@b.c_d@e.f and a@b..c; 1.2.3.4.5.6.7.8 or 256.1.1.1 with 4111 1111 1111 1111 and 4111-1111-1111-1112 +1 (555) 123-4567 +1.2", "😀 mail 😀 q@w.e 😀", "4" * 400, "@" * 300 + "a.b" * 300, "+1" + "-" * 3000 + "1",
@@ -161,6 +168,34 @@ def test_packing(documents, rows, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+    from tidewell.llm import arrays, byte_bpe
+
+    texts = [" ".join(f"{w}{i}" for i in range(300)) for w in ("one", "two")] + ["one1 two1 one1"]
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    plain = byte_bpe.ByteLevelEncoder(packing.TOKENIZER)
+    want = [plain.encode(d, np.array([0, len(d)]))[0].tolist() for d in data]
+    hashes = arrays.span_hashes
+    for bits, seeds in ((1, 3), (9, 1)):  # all collide within a text at once; some between texts only
+        weak = lambda d, a, b, seed=0: hashes(d, a, b, seed) & np.uint64((1 << bits) - 1) if seed < seeds else hashes(d, a, b, seed)  # noqa: B023, E731
+        monkeypatch.setattr(arrays, "span_hashes", weak)
+        encoder = byte_bpe.ByteLevelEncoder(packing.TOKENIZER)
+        assert [encoder.encode(d, np.array([0, len(d)]))[0].tolist() for d in data] == want and encoder.seed
+        starts, ends, _ = arrays.words(data[0], np.array([0, len(data[0])]))
+        assert len(arrays.told_apart(data[0], starts, ends)[0]) == 300
+    # the first chunk's words have different hashes, the second's are the same as some of them
+    monkeypatch.setattr(arrays, "span_hashes", lambda d, a, b, seed=0: (b - a).astype(np.uint64) if seed == 0 else hashes(d, a, b, seed))
+    encoder, two = byte_bpe.ByteLevelEncoder(packing.TOKENIZER), [np.frombuffer(x, np.uint8) for x in (b"abc", b"xyz")]
+    assert [encoder.encode(d, np.array([0, 3]))[0].tolist() for d in two] == [plain.encode(d, np.array([0, 3]))[0].tolist() for d in two] and encoder.seed == 1
+
+
+def test_equal_pieces_are_dealt_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    out = packing.packed(spark.createDataFrame([(1, "one text")] * 1000, "doc_id long, text string")).collect()
+    assert len(out) == 1000 and len({r.sequence_id >> 40 for r in out}) > 5
+
+
 def test_best_fit_takes_the_tightest_window():
     import random
 

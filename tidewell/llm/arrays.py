@@ -1,4 +1,4 @@
-"""Batches of texts as flat numpy arrays: spans of words and their 64-bit hashes.
+"""Batches of texts as flat numpy arrays: spans of words and their hashes.
 
 A chunk is a byte array holding several whole texts one after the other, with
 ``offsets`` that say where each begins. All work on words is done for a whole chunk at
@@ -8,7 +8,7 @@ once; a text is never cut, so a chunk is as long as its longest text at least.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: The first 0 ... 8 bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: Bytes between words: space, and tab to carriage return.
 IS_SPACE = np.zeros(256, bool)
@@ -61,13 +61,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _ODD, np.uint64), np.full(size, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -78,13 +71,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever the span lies."""
-    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    return mixed((sums[ends] - sums[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, the same wherever the span lies.
+
+    Each eight bytes are mixed with their place before they are added up, so no pattern of
+    the bytes makes sums equal. Another seed gives an independent hash.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    keys = mixed(np.array([2 * seed + 1, 2 * seed + 2], np.uint64))
+    out = mixed(eight[starts] & _FIRST[np.minimum(size, 8)] ^ keys[0])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = size[long] - 1 >> 3
+        place = flat_ranges(np.ones(len(long), np.int64), more)
+        at = np.repeat(starts[long], more) + 8 * place
+        left = np.minimum(np.repeat(ends[long], more) - at, 8)
+        out[long] += np.add.reduceat(mixed(eight[at] & _FIRST[left] ^ mixed(place.astype(np.uint64) + keys[1])), np.cumsum(more) - more)
+    return mixed(out + size.astype(np.uint64) * np.uint64(_ODD))
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Two hashes of each different span, sorted by the first, one span that has them, and which of them each span has.
+
+    None if two different spans have the same first hash: another seed tells them apart.
+    """
+    one, two = span_hashes(data, starts, ends, seed), span_hashes(data, starts, ends, ~seed & 0xFFFF_FFFF)
+    unique, first, back = np.unique(one, return_index=True, return_inverse=True)
+    return (unique, two[first], first, back) if (two[first][back] == two).all() else None
+
+
+def told_apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`distinct_spans` with the first seed that will do."""
+    return next(d for seed in count() if (d := distinct_spans(data, starts, ends, seed)) is not None)
 
 
 def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrays import CHUNK_BYTES, flat_ranges, span_hashes
+from tidewell.llm.arrays import CHUNK_BYTES, flat_ranges, told_apart
 from tidewell.llm.byte_bpe import byte_characters
 from tidewell.llm.common import frequent, table, written
 from tidewell.llm.pretoken import code_points, word_spans
@@ -190,7 +190,7 @@ class Chunk:
         starts, ends = word_spans(points, np.searchsorted(at, offsets))
         self.starts, self.ends = at[starts], at[ends]
         self.before = np.searchsorted(self.starts, offsets)  # words before each segment
-        self.unique, self.one, self.back = np.unique(span_hashes(self.data, self.starts, self.ends), return_index=True, return_inverse=True)
+        *self.hashes, self.one, self.back = told_apart(self.data, self.starts, self.ends)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -245,14 +245,15 @@ class Encoder:
 
     def __init__(self, path: str, data: bytes):
         self.vocabulary, self.lexicon = Vocabulary(path), Lexicon.mapped(data)
-        self.memo: dict[int, list[int]] = {}
+        self.memo: dict[tuple[int, int], list[int]] = {}  # by both hashes of a word
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         chunk = Chunk(self.vocabulary, texts)
         number = self.lexicon.find(chunk.data, chunk.starts[chunk.one], chunk.ends[chunk.one])
         new = np.flatnonzero(number < 0)
         merged = []
-        for h, i in zip(chunk.unique[new].tolist(), chunk.one[new].tolist(), strict=True):
+        for *h, i in zip(*(x[new].tolist() for x in (*chunk.hashes, chunk.one)), strict=True):
+            h = tuple(h)
             if h not in self.memo:
                 if len(self.memo) >= MEMO_WORDS:
                     self.memo.clear()
