@@ -247,6 +247,84 @@ def test_audio_is_found_again_after_noise_and_damage():
         assert mpeg_audio.parse(odd).offsets == []
 
 
+def bit_crc(bits):
+    """The checksum bit by bit."""
+    value = 0xFFFF
+    for b in bits:
+        value = (value << 1 ^ (0x8005 if (value >> 15 ^ int(b)) & 1 else 0)) & 0xFFFF
+    return value
+
+
+def checked_frame(second, third, fourth, bits, tail="1" * 40):
+    """A frame of zeros with a checksum over `bits`, other bits behind them."""
+    head = bytes([0xFF, second, third, fourth])
+    h = mpeg_audio.header(head)
+    crc = bit_crc("".join(f"{b:08b}" for b in head[2:]) + bits)
+    body = bits + tail
+    return head + crc.to_bytes(2, "big") + int(body.ljust(-(-len(body) // 8) * 8, "0"), 2).to_bytes(-(-len(body) // 8), "big").ljust(h.length - 6, b"\0")
+
+
+@pytest.mark.parametrize("second, third, fourth, bits", [
+    (0xFE, 0x80, 0x00, "0110" * 64),  # layer I, two channels
+    (0xFE, 0x80, 0x50, "0110" * (2 * 8 + 24)),  # layer I, channels share from subband 8 on
+    (0xFE, 0x84, 0xC0, "0011" * 32),  # layer I, one channel
+    (0xFC, 0x84, 0xC0, "0001" * 11 + "000" * 12 + "00" * 4 + "10" * 11),  # layer II, 48 kHz, one channel
+    (0xFC, 0xA0, 0xC0, "0001" * 11 + "000" * 12 + "01" * 7 + "10" * 18),  # layer II, 44.1 kHz, 160 kilobits
+    (0xFC, 0x10, 0xC0, "0001" * 2 + "001" * 6 + "11" * 8),  # layer II, 44.1 kHz, 32 kilobits
+    (0xFC, 0x18, 0xC0, "0001" * 2 + "001" * 10 + "11" * 12),  # layer II, 32 kHz, 32 kilobits
+    (0xFC, 0x80, 0x40, "0001" * 8 + "0001" * 7 + "000" * 12 + "00" * 4 + "10" * (8 + 14)),  # layer II, 128 kilobits, shared from subband 4 on
+    (0xF4, 0x80, 0xC0, "0001" * 4 + "001" * 7 + "00" * 19 + "11" * 11),  # layer II of MPEG 2
+    (0xF2, 0x80, 0xC0, "0" * 70 + "11"),  # layer III of MPEG 2, one channel
+    (0xE2, 0x80, 0x00, "0" * 134 + "11"),  # layer III of MPEG 2.5
+])
+def test_checksums_of_all_layers(second, third, fourth, bits):
+    frame = checked_frame(second, third, fourth, bits)
+    audio = mpeg_audio.parse(frame * 4)
+    assert (len(audio.offsets), audio.bad_checksums, audio.skipped, audio.samples) == (4, 0, 0, 4 * mpeg_audio.header(frame[:4]).samples)
+    for at, bad in ((6, 1), (6 + (len(bits) - 1) // 8, 1), (6 + len(bits) // 8 + 2, 0)):
+        damaged = bytearray(frame * 4)
+        damaged[len(frame) + at] ^= 1 << (7 - (len(bits) - 1) % 8 if at > 6 and bad else 0)
+        assert mpeg_audio.parse(bytes(damaged)).bad_checksums in ((1,) if bad else (0,)), at
+
+
+def test_tags_and_tables_of_other_writers():
+    frame = bytes([0xFF, 0xFB, 0x90, 0xC0]).ljust(417, b"\0")
+    vbri = bytearray(frame)
+    vbri[36:70] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 417 * 5, 4, 4, 2, 2, 1) + struct.pack(">4H", 100, 200, 300, 400)
+    id3v23 = b"TIT2" + struct.pack(">I", 299) + b"\0\0\1" + "tïtle".encode("utf-16").ljust(298, b"\0")
+    tags = b"ID3\3\0\0" + mpeg_audio._spread(len(id3v23) + 20) + id3v23 + bytes(20)
+    id3v1 = b"TAG" + b"old".ljust(30, b"\0") + b"who".ljust(30) + b"album".ljust(65, b"\0")
+    audio = mpeg_audio.parse(tags + bytes(vbri) + frame * 4 + id3v1)
+    start = len(tags)
+    assert audio.tags == {"TIT2": "tïtle", "TPE1": "who", "TALB": "album"}
+    assert (audio.table, audio.table_frames, audio.seek) == ("VBRI", 4, [start + 417 + x for x in (0, 200, 600, 1200)])
+    assert audio.offsets == [start + 417 * k for k in range(1, 5)] and (audio.samples, audio.rate, audio.milliseconds) == (4608, 44100, 104)
+    slow = bytes([0xFF, 0xF3, 0x80, 0xC0]).ljust(208, b"\0") * 3
+    assert [(a.samples, a.rate, len(a.offsets)) for a in [mpeg_audio.parse(slow)]] == [(3 * 576, 22050, 3)]
+
+
+def test_no_bytes_make_audio_fail(spark):
+    import random
+
+    rng, whole = random.Random(11), mpeg_audio.build(bytes(range(256)) * 12, "title")
+    frame = bytes([0xFF, 0xFB, 0x90, 0xC0]).ljust(417, b"\0")
+    files = [None, b""]
+    for value in ("abc", "9" * 5000, "-5", "", "12\0", "٣"):
+        text = b"\3payload\0" + value.encode()
+        files.append(b"ID3\4\0\0" + mpeg_audio._spread(len(text) + 10) + b"TXXX" + mpeg_audio._spread(len(text)) + b"\0\0" + text + frame * 3)
+    files.append(frame[:36] + b"VBRI" + b"\xff" * 300 + frame * 3)
+    for _ in range(3000):
+        data = bytearray(whole if rng.random() < 0.7 else rng.randbytes(500))
+        for _ in range(rng.randrange(1, 30)):
+            at = rng.randrange(min(len(data), rng.choice((60, 300, 10_000))))
+            data[at : at + rng.randrange(3)] = rng.choice((rng.randbytes(2), b"\xff\xfb", b"\xff", b"TAG", b""))
+        files.append(bytes(data[: rng.randrange(len(data) + 1)] if rng.random() < 0.2 else data))
+    table = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "doc_id long, media binary")
+    found = {r.doc_id: r for r in mpeg_audio.probed(table).collect()}
+    assert len(found) == len(files) and found[0].payload == b"" and not found[0].frame_offsets
+    assert [len(found[i].payload) for i in range(2, 8)] == [1188, 1188, 1188, 1188, 12, 1188]
+
+
 def test_audio_with_a_tag_inside_the_last_frame():
     payload = b"x" * 1289 + b"TAG" + b"y" * 116
     data, tag = mpeg_audio.build(payload), b"TAG" + b"title".ljust(125, b"\0")

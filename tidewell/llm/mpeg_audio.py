@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,12 @@ RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
 
 
+# Bits of the allocation of each subband in layer II: (subbands, bits) one after the other. By
+# version, rate and kilobits a channel: MPEG 2; under 56 at 32 kHz, and at others; 96 and more
+# but at 48 kHz; all else.
+LSF, LOW_32, LOW, HIGH, MIDDLE = ((4, 4), (7, 3), (19, 2)), ((2, 4), (10, 3)), ((2, 4), (6, 3)), ((11, 4), (12, 3), (7, 2)), ((11, 4), (12, 3), (4, 2))
+
+
 @dataclass(frozen=True)
 class Header:
     version: int  # 3: MPEG 1, 2: MPEG 2, 0: MPEG 2.5
@@ -37,6 +44,7 @@ class Header:
     rate: int
     mono: bool
     length: int
+    bound: int  # the first subband that both channels share
 
     @property
     def samples(self) -> int:
@@ -63,7 +71,8 @@ def header(four: bytes) -> Header | None:
         return None
     bits, hertz, samples = KBITS[version == 3, layer][kbit] * 1000, RATES[version][rate], SAMPLES[version == 3, layer]
     length = (12 * bits // hertz + padding) * 4 if layer == 1 else samples // 8 * bits // hertz + padding
-    return Header(version, layer, not four[1] & 1, bits // 1000, hertz, four[3] >> 6 == 3, length)
+    bound = 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, bits // 1000, hertz, four[3] >> 6 == 3, length, bound)
 
 
 @lru_cache(maxsize=1 << 14)
@@ -78,6 +87,44 @@ def crc16(data: bytes) -> int:
     return value
 
 
+def _bits(data: bytes, low: int, n: int) -> int:
+    """`n` bits from bit `low` on; zeros behind the end."""
+    part = data[low // 8 : (low + n + 7) // 8].ljust((low + n + 7) // 8 - low // 8, b"\0")
+    return int.from_bytes(part, "big") >> -(low + n) % 8 & (1 << n) - 1
+
+
+def _protected(data: bytes, h: Header) -> int:
+    """How many bits behind the checksum it covers besides the header's: the side information,
+    or the bit allocation, in layer II with the selection of scale factors."""
+    if h.layer == 3:
+        return 8 * h.side_bytes
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        return sum(4 * (channels if b < h.bound else 1) for b in range(32))
+    each = h.kbits // channels
+    if h.version != 3:
+        shape = LSF
+    elif each < 56:
+        shape = LOW_32 if h.rate == 32000 else LOW
+    else:
+        shape = HIGH if each >= 96 and h.rate != 48000 else MIDDLE
+    at = used = 0
+    for band, width in enumerate(w for n, w in shape for _ in range(n)):
+        for _ in range(channels if band < h.bound else 1):
+            used += (_bits(data, at, width) > 0) * (1 if band < h.bound else channels)
+            at += width
+    return at + 2 * used
+
+
+def checksum_holds(frame: bytes, h: Header) -> bool:
+    """Whether a frame that has a checksum, its third pair of bytes, has the right one."""
+    n = _protected(frame[6:], h)
+    value = crc16(frame[2:4] + frame[6 : 6 + n // 8])
+    for i in range(n // 8 * 8, n):
+        value = (value << 1 ^ 0x8005 * ((value >> 15) ^ _bits(frame, 48 + i, 1))) & 0xFFFF
+    return value == int.from_bytes(frame[4:6], "big")
+
+
 @dataclass
 class Audio:
     tags: dict[str, str] = field(default_factory=dict)
@@ -94,6 +141,7 @@ class Audio:
 
     @property
     def milliseconds(self) -> int:
+        """Rounded down; `samples` at `rate` are the exact duration."""
         return self.samples * 1000 // self.rate if self.rate else 0
 
 
@@ -151,7 +199,8 @@ def _table(data: bytes, at: int, h: Header, out: Audio) -> bool:
     if data[p : p + 4] == b"VBRI" and len(data) >= p + 26:
         _, _, _, _, frames, entries, scale, width, _ = struct.unpack(">HHHIIHHHH", data[p + 4 : p + 26])
         out.table, out.table_frames, position = "VBRI", frames, at + h.length
-        for i in range(entries):
+        # entries that would lie outside of the frame aren't any
+        for i in range(min(entries, (at + h.length - p - 26) // width) if 1 <= width <= 4 else 0):
             out.seek.append(position)
             position += scale * int.from_bytes(data[p + 26 + i * width : p + 26 + (i + 1) * width], "big")
         return True
@@ -185,8 +234,8 @@ def parse(data: bytes) -> Audio:
             continue
         lost = False
         body = at + 4 + 2 * h.checked + (h.side_bytes if h.layer == 3 else 0)
-        if h.checked and h.layer == 3:
-            out.bad_checksums += crc16(data[at + 2 : at + 4] + data[at + 6 : body]) != int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.checked:
+            out.bad_checksums += not checksum_holds(data[at : at + h.length], h)
         if first is None:
             first, out.rate = h, h.rate
             if _table(data, at, h, out):
@@ -243,14 +292,15 @@ def _spread(n: int) -> bytes:
 
 
 def payload_of(data: bytes, audio: Audio) -> bytes:
-    """What `build` was given."""
-    return b"".join(data[a:b] for a, b in audio.bodies)[: int(audio.tags.get("payload", 0))]
+    """What `build` was given; of a file that `build` didn't write, the main data of all frames."""
+    n = audio.tags.get("payload", "")
+    return b"".join(data[a:b] for a, b in audio.bodies)[: int(n) if re.fullmatch("[0-9]{1,18}", n) else None]
 
 
 def feature(audio: Audio) -> str:
-    """Duration, frames, bitrates, table and a digest of the seek offsets."""
+    """Samples and their rate, frames, bitrates, table and a digest of the seek offsets."""
     seek = zlib.crc32(struct.pack(f"<{len(audio.offsets)}Q", *audio.offsets))
-    return f"{audio.milliseconds}ms/{audio.rate}Hz/{len(audio.offsets)}f/{min(audio.kbits, default=0)}-{max(audio.kbits, default=0)}k/{audio.table}:{audio.table_frames}/bad{audio.bad_checksums}/skip{audio.skipped}/{seek:08x}"
+    return f"{audio.samples}/{audio.rate}Hz/{len(audio.offsets)}f/{min(audio.kbits, default=0)}-{max(audio.kbits, default=0)}k/{audio.table}:{audio.table_frames}/bad{audio.bad_checksums}/skip{audio.skipped}/{seek:08x}"
 
 
 def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,20 +315,22 @@ def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(key, text).mapInArrow(task, f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
-MEDIA_COLUMNS = {"duration_ms": "long", "sample_rate": "long", "frame_offsets": "array<long>", "tags": "map<string,string>", "vbr_table": "string", "bad_checksums": "long", "skipped_bytes": "long", "feature": "string", "payload": "binary"}
-_MEDIA_TYPES = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+MEDIA_COLUMNS = {"duration_ms": "long", "samples": "long", "sample_rate": "long", "frame_offsets": "array<long>", "tags": "map<string,string>", "vbr_table": "string", "bad_checksums": "long", "skipped_bytes": "long", "feature": "string", "payload": "binary"}
+_MEDIA_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 
 
 def _described(data: bytes | None) -> tuple:
     data = data or b""
     a = parse(data)
-    return a.milliseconds, a.rate, a.offsets, list(a.tags.items()), a.table, a.bad_checksums, a.skipped, feature(a), payload_of(data, a)
+    return a.milliseconds, a.samples, a.rate, a.offsets, list(a.tags.items()), a.table, a.bad_checksums, a.skipped, feature(a), payload_of(data, a)
 
 
 def probed(files: DataFrame, media: str = "media", columns: tuple[str, ...] = tuple(MEDIA_COLUMNS)) -> DataFrame:
     """The other columns of `files` with what `parse` finds in `media`; MEDIA_COLUMNS of `files` are replaced.
 
-    Null or broken files have no frames, no duration and an empty payload; repeated rows are read alike.
+    Null or broken files have no frames, no duration and an empty payload; no bytes make it
+    fail. A duration is exactly `samples` at `sample_rate`, or whole milliseconds rounded
+    down. Frames of free format aren't known. Repeated rows are read alike.
     """
     kept = [c for c in files.columns if c not in columns and c != media]
     wanted = [list(MEDIA_COLUMNS).index(c) for c in columns]
@@ -296,6 +348,6 @@ def probed(files: DataFrame, media: str = "media", columns: tuple[str, ...] = tu
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = stored(table(spark, sf_dir, "documents"))
     media = [F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")]
-    back = probed(files.select("*", *media), columns=("payload", "feature"))
+    back = probed(files.select("*", *media), columns=("payload", "feature", "samples", "sample_rate", "frame_offsets"))
     payload = F.col("payload")
-    return back.select("doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    return back.select("doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "samples", "sample_rate", "frame_offsets")
