@@ -63,17 +63,39 @@ def odd_vectors(spark):
     return spark.createDataFrame([(i, x, None, 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int, links int")
 
 
-def test_vectors(spark):
-    for table, cells in ((spark.read.parquet(f"{SF}/embeddings.parquet"), 4096), (spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet"), 32), (odd_vectors(spark), 4)):
-        before, embedding_join.CELL_VECTORS = embedding_join.CELL_VECTORS, cells
-        try:
-            got = by_id(embedding_join.linked(table), "n_links", "component_id", "kept", key="vec_id")
-        finally:
-            embedding_join.CELL_VECTORS = before
+def test_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "LEAST_BLOCK", 64)
+    for table, cells in ((spark.read.parquet(f"{SF}/embeddings.parquet"), 256), (spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet"), 16), (odd_vectors(spark), 2)):
+        monkeypatch.setattr(embedding_join, "CELL_VECTORS", cells)
+        got = by_id(embedding_join.linked(table), "n_links", "component_id", "kept", key="vec_id")
         assert got == brute.linked_vectors([(r.vec_id, r.embedding) for r in table.collect()])
     assert embedding_join.linked(odd_vectors(spark).where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("kind, dimensions, settings", [
+    ("float", 8, {"CELL_VECTORS": 64, "LEAST_BLOCK": 256}),
+    ("double", 8, {"CELL_VECTORS": 16, "LEAST_BLOCK": 64, "BLOCK_SHARE": 40}),
+    ("float", 32, {"CELL_VECTORS": 64, "LEAST_BLOCK": 100, "MOST_BLOCK_VALUES": 1600, "TOGETHER": 37}),
+    ("float", 3, {"CELL_VECTORS": 16, "MAX_PIVOTS": 3, "MOST_BLOCK_VALUES": 240}),  # cells larger than a block
+])
+def test_clusters_of_vectors(spark, monkeypatch, kind, dimensions, settings):
+    import numpy as np
+
+    for name, value in settings.items():
+        monkeypatch.setattr(embedding_join, name, value)
+    rng = np.random.default_rng(dimensions)
+    centres = rng.normal(size=(60, dimensions))
+    x = np.concatenate([c + 0.16 * np.sqrt((c @ c) / dimensions) * rng.normal(size=(n, dimensions)) for c, n in zip(centres, rng.integers(1, 60, 60), strict=True)])
+    x = np.concatenate([x, rng.normal(size=(300, dimensions)), x[:40], np.repeat(x[:1], 200, axis=0), x[40:60] * 3]).astype(np.float32)
+    rows = [(int(i) * 7 % 10007, v.tolist()) for i, v in enumerate(x)]
+    got = by_id(embedding_join.linked(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")), "n_links", "component_id", "kept", key="vec_id")
+    want = brute.linked_vectors(rows)
+    assert got == want and sum(n > 0 for n, _, _ in want.values()) > 500
+    own = embedding_join.members(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), "vec_id", "embedding")
+    blocks = embedding_join.arranged(own, 0.95)[1].groupBy("block").count().count()
+    assert blocks > 3
+
+
 def test_rows_with_one_or_no_vector_id_stay(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>")
     assert sorted((r.vec_id or -1, r.component_id or -1) for r in embedding_join.linked(table).collect()) == [(-1, -1), (1, 1), (1, 1), (2, 1)]
