@@ -389,10 +389,11 @@ def test_large_groups_are_split_without_losing_links(spark, monkeypatch):
             w[rng.randrange(60)] = f"x{rng.randrange(50)}"
         texts.append(" ".join(w))
     rows = [*enumerate(texts), (999, "  "), (998, None)]
-    monkeypatch.setattr(shingle_join, "BLOCK_SHINGLES", 700)
     monkeypatch.setattr(shingle_join, "PIVOTS", 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for size, percent in ((4, 85), (5, 80)):
+    for size, percent, shingles, members in ((4, 85, 700, 256), (5, 80, 700, 10), (4, 85, 1 << 20, 20)):
+        monkeypatch.setattr(shingle_join, "BLOCK_SHINGLES", shingles)
+        monkeypatch.setattr(shingle_join, "GROUP_MEMBERS", members)
         assert by_id(shingle_join.classes(docs, size=size, percent=percent), "n", "component", key="_doc") == brute.near_copies(rows, size, percent)
 
 
@@ -403,6 +404,18 @@ def test_rows_with_one_key_and_size_keep_their_own_links(spark):
     assert {(r["_doc"], r.component) for r in shingle_join.classes(docs).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_keys_with_two_texts_have_the_links_of_both(spark):
+    import random
+
+    rng, rows = random.Random(8), []
+    for i in range(60):
+        for k in range(2):
+            w = [f"w{rng.randrange(5000)}" for _ in range(80)]
+            rows += [(i, " ".join(w)), (100 + 2 * i + k, " ".join([*w[:-1], "end"]))]
+    got = {r["_doc"]: r.component for r in shingle_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 100 else (i - 100) // 2 for i, _ in rows}
+
+
 def test_lines_agree_with_sql(spark):
     got, want = compared("op10_line_dedup", spark)
     assert got == want

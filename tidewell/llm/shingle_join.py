@@ -31,13 +31,13 @@ WORDS = 4
 PERCENT = 85
 #: Counters that tell frequent shingles from rare ones; they only set the order of shingles.
 COUNTER_BITS = 18
-#: Slots of the filter that tells which documents have company in some list.
-SLOTS = 1 << 24
+#: Slots of the filter that tells which documents have company in some list: eight a document, within these bounds.
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 28
 #: Classes of shingles, by which the overlap of two sets is bounded.
 CLASSES = 256
-#: Groups up to this size are thinned by that bound before whole sets are moved.
-THINNED = 1000
-#: Shingles in a block of a group; larger groups are split.
+#: Groups up to this size are thinned by that bound before whole sets are moved; larger ones are split into blocks of about this size.
+GROUP_MEMBERS = 256
+#: Shingles in a block of a group, which is split if it has more; and visitors that are held at once.
 BLOCK_SHINGLES = 1 << 20
 #: Members that visit every block of a split group, about.
 PIVOTS = 16
@@ -91,9 +91,14 @@ def shingle_counts(docs: DataFrame, text: str, size: int = WORDS) -> np.ndarray:
         kind = np.int32 if total.max() < 1 << 31 else np.int64
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([total[k : k + block].astype(kind).tobytes() for k in full], pa.binary())], names=["at", "counts"])
 
-    def add(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(c, np.int64 if len(c) == 8 * block else np.int32).astype(np.int64) for c in t["counts"].to_pylist()]
-        return pa.table({"at": t["at"][:1], "counts": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, at = np.zeros(block, np.int64), None
+        for batch in batches:
+            at = batch.column(0).slice(0, 1)
+            for c in batch.column(1):
+                c = c.as_py()
+                total += np.frombuffer(c, np.int64 if len(c) == 8 * block else np.int32)
+        yield pa.RecordBatch.from_arrays([at, pa.array([total.tobytes()], pa.binary())], names=["at", "counts"])
 
     rows = docs.select(text).mapInArrow(count, "at long, counts binary").groupBy("at").applyInArrow(add, "at long, counts binary").collect()
     out = np.zeros(1 << COUNTER_BITS, np.int64)
@@ -123,29 +128,30 @@ def described(docs: DataFrame, key: str, text: str, size: int = WORDS, percent:
     return docs.select(key, text).mapInArrow(task, "_doc long, n long, one long, two long, rare array<long>, spread binary")
 
 
-def _slot(doc):
-    return F.pmod(F.xxhash64(doc), F.lit(SLOTS)) + 1
+def _slot(doc, slots: int):
+    return F.pmod(F.xxhash64(doc), F.lit(slots)) + 1
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int = WORDS) -> DataFrame:
     """_doc and shingles (as bytes) of the documents in `wanted`, and of some others that share a slot of the filter."""
-    slot = _slot("_doc")
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (8 * wanted.count()).bit_length()))
+    slot = _slot("_doc", slots)
     rows = wanted.select(F.bitmap_bucket_number(slot).alias("k"), F.bitmap_bit_position(slot).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    bits = np.zeros(SLOTS // 8, np.uint8)  # of a fixed size, whatever the number of documents
+    bits = np.zeros(slots // 8, np.uint8)  # MOST_SLOTS at most, whatever the number of documents
     for r in rows:
         bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = batch.column(1).to_numpy() - 1
-            keep = pa.array((shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1)
+            at = batch.column(1).to_numpy() - 1
+            keep = pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
             batch = batch.filter(keep)
             if len(batch):
                 sets = [s.tobytes() for s in _sets(batch.column(2), size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["_doc", "shingles"])
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_doc"), _slot(F.col(key).cast("long")).alias("slot"), text).mapInArrow(task, "_doc long, shingles binary")
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_doc"), _slot(F.col(key).cast("long"), slots).alias("slot"), text).mapInArrow(task, "_doc long, shingles binary")
 
 
 class Block:
@@ -250,24 +256,23 @@ def _thinned(routes: DataFrame, percent: int) -> DataFrame:
     """The rows (leader, _doc, n) whose documents may be linked with another of the group.
 
     Two sets share no more of a class than the smaller number; where `spread` is null, any
-    number. A pair from the lower of a group's two bands meets elsewhere.
+    number. A pair from the lower of a group's two bands meets elsewhere. No group has more
+    than GROUP_MEMBERS rows.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            keep = np.ones(len(t), bool)
-            if len(t) <= THINNED:
-                n, top = t["n"].to_numpy(), t["top"].to_numpy()
-                spread = np.array([np.frombuffer(x or _FULL, np.uint16 if x and len(x) == 2 * CLASSES else np.uint32) for x in t["spread"].to_pylist()])
-                keep[:] = False
-                for i in range(len(t) - 1):
-                    rest = slice(i + 1, None)
-                    fits = (top[rest] | top[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-                    j = np.flatnonzero(fits) + i + 1
-                    bound = np.minimum(spread[j], spread[i]).sum(axis=1, dtype=np.int64)
-                    j = j[(100 + percent) * bound >= percent * (n[j] + n[i])]
-                    keep[j] = True
-                    keep[i] |= len(j) > 0
+            keep = np.zeros(len(t), bool)
+            n, top = t["n"].to_numpy(), t["top"].to_numpy()
+            spread = np.array([np.frombuffer(x or _FULL, np.uint16 if x and len(x) == 2 * CLASSES else np.uint32) for x in t["spread"].to_pylist()])
+            for i in range(len(t) - 1):
+                rest = slice(i + 1, None)
+                fits = (top[rest] | top[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+                j = np.flatnonzero(fits) + i + 1
+                bound = np.minimum(spread[j], spread[i]).sum(axis=1, dtype=np.int64)
+                j = j[(100 + percent) * bound >= percent * (n[j] + n[i])]
+                keep[j] = True
+                keep[i] |= len(j) > 0
             if keep.any():
                 yield t.select(["leader", "_doc", "n"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
 
@@ -275,24 +280,55 @@ def _thinned(routes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(task, "leader long, _doc long, n long")
 
 
+def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[int], list[int | None], list[np.ndarray]]]:
+    """The members of each block, then its visitors, about BLOCK_SHINGLES at a time: leader, block and visitor, documents, labels and sets."""
+    at, docs, labels, sets, size = None, [], [], [], 0
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in range(5))
+        for leader, block, visitor, label, doc, shingles in zip(*columns, batch.column(5), strict=True):
+            if (leader, block, visitor) != at or visitor and size >= BLOCK_SHINGLES:
+                if docs:
+                    yield at, docs, labels, sets
+                at, docs, labels, sets, size = (leader, block, visitor), [], [], [], 0
+            docs.append(doc)
+            labels.append(label)
+            sets.append(np.frombuffer(shingles.as_py(), np.uint64))
+            size += len(sets[-1])
+    if docs:
+        yield at, docs, labels, sets
+
+
 def _searched(blocks: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) in each block of (leader, block, visitor, label, _doc, shingles).
 
-    Without labels all are compared, else each visitor with the rest.
+    Without labels, members are compared with one another. Visitors are compared with the
+    members. Equal labels are one component, whose links aren't looked for.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            docs, visits, labels = (t[c].to_pylist() for c in ("_doc", "visitor", "label"))
-            block = Block([np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()], [i if x is None else x for i, x in enumerate(labels)], percent)
-            if labels[0] is None:
-                pairs = [*block.links()]
-            else:
-                pairs = [p for q, v in enumerate(visits) if v for p in block.link(q)]
+        at = None
+        for (*key, visitor), new_docs, new_labels, new_sets in _visits(batches):
+            if not visitor:
+                at = key
+                docs, sets = new_docs, new_sets
+                labels = [i if x is None else x for i, x in enumerate(new_labels)]
+                if new_labels[0] is not None:
+                    continue
+                block = Block(sets, labels, percent)
+                pairs = [(docs[p], docs[q]) for p, q in block.links()]
+                labels = block.labels
+            elif key == at:
+                # without labels, negative numbers are components of their own
+                block = Block([*new_sets, *sets], [-1 - i if x is None else x for i, x in enumerate(new_labels)] + labels, percent)
+                both = [*new_docs, *docs]
+                pairs = [(both[p], both[q]) for v in range(len(new_docs)) for p, q in block.link(v)]
+                labels = block.labels[len(new_docs) :]
+            else:  # a block without members
+                continue
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([docs[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    dealt = blocks.select("leader", "block", "visitor", "label", "_doc", "shingles").repartition("leader", "block").sortWithinPartitions("leader", "block", F.desc("visitor"), "_doc")
+    dealt = blocks.select("leader", "block", "visitor", "label", "_doc", "shingles").repartition("leader", "block").sortWithinPartitions("leader", "block", "visitor", "_doc")
     return dealt.mapInArrow(task, "a long, b long")
 
 
@@ -321,10 +357,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     # a row's classes don't bound the links of another row with its key and size
     alike = (F.min("one") == F.max("one")) & (F.min("two") == F.max("two"))
     spread = own.groupBy("_doc", "n").agg(F.when(alike, F.any_value("spread")).alias("spread"))
-    routes = written(_thinned(written(routes, "routes").join(spread, ["_doc", "n"]), percent), "routes")
+    routes = written(routes, "routes")
+    # large groups don't come together before they are split
+    large = written(routes.groupBy("leader").count().where(F.col("count") > GROUP_MEMBERS).select("leader"), "large-groups")
+    small = routes.join(large, "leader", "left_anti").join(spread, ["_doc", "n"])
+    routes = written(_thinned(small, percent).union(routes.join(large, "leader", "left_semi").select("leader", "_doc", "n")), "routes")
     sets = written(sets_of(docs, routes.select("_doc").distinct(), "_doc", "_text", size), "sets")
-    # groups with many shingles are dealt over blocks
-    groups = routes.groupBy("leader").agg((F.sum("n") / BLOCK_SHINGLES + 1).cast("long").alias("blocks"), F.count("*").alias("members"))
+    # large groups, and those with many shingles, are dealt over blocks
+    blocks = F.greatest(F.sum("n") / BLOCK_SHINGLES, (F.count("*") - 1) / GROUP_MEMBERS) + 1
+    groups = routes.groupBy("leader").agg(blocks.cast("long").alias("blocks"), F.count("*").alias("members"))
     seats = written(routes.join(groups, "leader").withColumn("block", F.pmod(F.xxhash64("_doc", "leader"), F.col("blocks"))), "seats")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     pivots = seats.where("blocks > 1").where(F.pmod(F.xxhash64("_doc", F.lit(7)), F.col("members")) < PIVOTS)
