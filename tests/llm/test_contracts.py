@@ -1,6 +1,7 @@
 """Each query against a plain version, on the test tables and on awkward rows."""
 
 import hashlib
+import math
 import struct
 import zlib
 from collections import defaultdict
@@ -121,6 +122,40 @@ def test_language_model(documents, rows, empty):
     assert maxent.scored(documents.where("doc_id = 1001"), F.lit(False)).count() == 1
 
 
+def test_scores_do_not_depend_on_the_cluster(spark, documents):
+    from pyspark.sql import functions as F
+
+    training = ~maxent.is_held_out(F.col("doc_id"))
+    one, two = (by_id(maxent.scored(documents.repartition(n), training), "score") for n in (2, 7))
+    assert one.keys() == two.keys() and all(abs(one[i][0] - two[i][0]) <= 1e-9 * abs(one[i][0]) for i in one)
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 15, 16, 17, 300])
+def test_choices_on_all_ways_make_probabilities(size):
+    import numpy as np
+
+    rng = np.random.default_rng(size)
+    count = np.sort(rng.integers(1, 1000, size))[::-1]
+    hashes = maxent.mixed(np.arange(1, size + 1, dtype=np.uint64))
+    order = np.argsort(hashes)
+    v = maxent.Vocabulary(hashes[order], order, count, int(count.sum()) + 5, size + 3)
+    weights = rng.normal(size=(5, v.rows, maxent.WIDTH)).astype(np.float32)
+    total = 0.0
+    for rank in range(size + 1):  # each word after the same two
+        token = np.array([7, 8, hashes[rank] if rank < size else 9], np.uint64)
+        rows, node, child, at = maxent.decisions(v, token, np.array([size, size, rank]), np.array([0, 3]))
+        mine = at == 2
+        if mine.any():
+            logs = maxent._scores(weights, v.mask, rows[:, mine], node[mine])
+            total += math.exp(sum(logs[np.arange(len(logs)), child[mine]] - np.log(np.exp(logs).sum(axis=1))))
+        else:
+            total += 1
+    assert abs(total - 1) < 1e-4
+    if size == 300:
+        depth = np.diff(v.begins)[:size]
+        assert (np.diff(depth) >= 0).all() and len(v.mask) == -(-(size + 1 - 1) // 15)
+
+
 def test_personal_data(documents, rows, empty):
     got = by_id(personal_data.found(documents), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
     for i, text in rows:

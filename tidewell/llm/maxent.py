@@ -1,59 +1,58 @@
 """Language model: hashed maximum entropy with a class-factored softmax.
 
-The probability of a word is that of its class times that of the word in its class. Both are
-softmaxes over at most WIDTH children, whose scores are sums of rows of one table of
-weights; a row is found by hashing a feature of the words before together with the node.
-The features are the node itself, the word before, the pair before, and the second and third
-word before alone. The most frequent words have classes of their own; less frequent ones
-share a few classes by frequency, and within these, and in the class of rare words, a word's
-count decides.
-
-Training is data-parallel: in each round every task updates its copy of the table by
-gradient steps over its documents, and the changes of a row are averaged, each weighed by
-its number of updates. Each training document is used in one round, so it is read into
-features once.
+Words are the leaves of a tree of classes, made so that frequent words have short ways: each
+class has WIDTH children at most, which are classes or words. The probability of a word is
+the product of the choices on its way, and each choice is a softmax over a class's children,
+whose scores are sums of rows of weights. There is a table of rows for each kind of feature,
+and a row is found by hashing the feature together with the class. The features are the class
+itself, the word before, the pair before, and the second and third word before alone; any
+words make features, however rare. Words that aren't among the KNOWN_WORDS most frequent are
+one leaf, and within it a word's count decides, looked up by a join. Counts are of all training
+rows, and the tables have more rows the more tokens there are.
+
+Training is data-parallel: in each round every task updates its copy of the tables by
+gradient steps over its documents, and the changes of a row are averaged over the tasks that
+have updated it, each weighed by its number of updates. Each training document is used in one
+round. Documents are dealt to tasks by hash, and the number of tasks follows the number of
+tokens, so the scores don't depend on the cluster.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrays import chunks, lowered, mixed, span_hashes, words
+from tidewell.llm.arrays import chunks, flat_ranges, lowered, mixed, span_hashes, words
 from tidewell.llm.common import frequent, table, written
 
-#: Children of a node.
-WIDTH = 64
-#: Classes by frequency of words that have no class of their own.
-SHARED = 8
-#: Words with classes of their own: what is left of the first softmax, less the rare words' class.
-OWN_WORDS = (WIDTH - SHARED - 1) * WIDTH
-#: Words whose counts every task knows.
+#: Children of a class at most.
+WIDTH = 16
+#: Words in the tree, whose counts every task knows.
 KNOWN_WORDS = 1 << 18
-#: Words that are told apart as context, and as part of a pair.
-CONTEXT_WORDS, PAIR_WORDS = 1 << 14, 1 << 11
-#: Rows of the table of weights.
-ROWS = 1 << 16
-ROUNDS = 3
-#: Tokens that a training task reads at least, where there are tasks enough for all cores. A
-#: task passes on as much as the table has rows, so small partitions are read together.
-TASK_TOKENS = 6_000_000
-RATE = 0.15
-STEP = 4096
+#: Base-2 logarithms of the rows of a table: the least, the most, and that of the tokens for each row beyond the least.
+LEAST_ROWS, MOST_ROWS, ROW_TOKENS = 17, 18, 11
+#: Shares of the training documents that the rounds use, in sixteenths.
+ROUNDS = (4, 12)
+#: Training tokens of a task for each row of a table: a task passes on as much as the tables
+#: have rows. Few tokens are dealt to FEW_TASKS nevertheless, of LEAST_TOKENS at least.
+TASK_TOKENS, FEW_TASKS, LEAST_TOKENS = 96, 8, 1 << 19
+RATE = 0.25
+STEP = 8192
 #: Rows of weights that are averaged together.
-BLOCK = 64
+BLOCK = 256
 
 END = mixed(np.array([0xE0D], np.uint64))[0]
-_RARE, _BEGIN = 1 << 20, (1 << 20) + 1
-_FEATURES = 5
+_BEGIN = mixed(np.array([0xBE6], np.uint64))[0]
+#: Kinds of features: the class, the word before, the second and third before, and the pair before.
+_KINDS = mixed(np.arange(1, 6, dtype=np.uint64))
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -93,9 +92,40 @@ def token_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(task, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def tree_of(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree whose leaves have the least weighted depth: for all leaves in turn the classes on
+    the way and the children taken there, where each leaf's part begins, and each class's number of children."""
+    n = len(weights)
+    leaves = deque(zip(np.sort(weights, kind="stable").tolist(), np.argsort(weights, kind="stable").tolist(), strict=True))
+    made: deque[tuple[float, int]] = deque()
+    up, slot, sizes = [0] * n, [0] * n, []
+    many = (n - 2) % (WIDTH - 1) + 2  # so that all later classes are full
+    while len(leaves) + len(made) > 1:
+        total = 0
+        for k in range(many):
+            part, node = leaves.popleft() if leaves and (not made or leaves[0][0] <= made[0][0]) else made.popleft()
+            total, up[node], slot[node] = total + part, n + len(sizes), k
+        made.append((total, n + len(sizes)))
+        up.append(0)
+        slot.append(0)
+        sizes.append(many)
+        many = WIDTH
+    root, up, slot = n + len(sizes) - 1, np.array(up), np.array(slot)
+    node, steps = np.arange(n), []
+    while len(sizes) and (on := node != root).any():
+        steps.append((np.where(on, root - up[node], -1), slot[node]))
+        node = np.where(on, up[node], root)
+    if not steps:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
+    classes, children = (np.stack(x, axis=1) for x in zip(*steps, strict=True))
+    there = classes >= 0
+    begins = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
+    return classes[there].astype(np.int32), children[there].astype(np.int32), begins, np.array(sizes[::-1])
+
+
 @dataclass
 class Vocabulary:
-    """Frequent words by hash; places in the tree follow from the rank by count."""
+    """Frequent words by hash; their ways through the tree follow from their counts."""
 
     hashes: np.ndarray  # sorted
     rank: np.ndarray
@@ -105,27 +135,16 @@ class Vocabulary:
 
     def __post_init__(self):
         n = len(self.count)
-        own = min(n, OWN_WORDS)
-        place = np.arange(n)
-        self.own_classes = -(-own // WIDTH)
-        step = np.log(np.maximum(place + 1, own + 1) / (own + 1)) / max(math.log((n + 1) / (own + 1)), 1e-9)
-        shared = self.own_classes + np.minimum(SHARED - 1, (step * SHARED).astype(np.int64))
-        self.rare = self.own_classes + SHARED
-        self.child = np.append(np.where(place < own, place // WIDTH, shared), self.rare)  # the last is for all other words
-        mass = np.bincount(self.child[own:n], self.count[own:], self.rare + 1)
-        self.inside = np.zeros(n + 1)  # log10 of a word's probability in a shared class
-        self.inside[own:n] = np.log10(self.count[own:] / mass[self.child[own:n]])
-        self.own = own
         rest = self.total - int(self.count.sum())
+        self.classes, self.children, self.begins, sizes = tree_of(np.append(self.count, rest))  # the last leaf is for all other words
         self.rare_log = math.log10(rest + 0.5 * (self.distinct - n + 1))
         self.base_log = math.log10(self.total + 0.5 * (self.distinct + 1))
         self.known_log = np.append(np.log10(self.count + 0.5), 0.0)
         # children that don't exist get no probability
-        self.mask = np.zeros((1 + self.own_classes, WIDTH), np.float32)
-        used = np.bincount(self.child, minlength=WIDTH)[:WIDTH] > 0
-        self.mask[0, ~used] = -1e9
-        if own % WIDTH:
-            self.mask[self.own_classes, own % WIDTH :] = -1e9
+        self.mask = np.where(np.arange(WIDTH) < sizes[:, None], 0, -1e9).astype(np.float32)
+        bits = max(0, int(self.total).bit_length() - ROW_TOKENS)
+        self.rows = 1 << min(MOST_ROWS, max(LEAST_ROWS, bits))
+        self.tasks = max(min(FEW_TASKS, self.total // LEAST_TOKENS + 1), self.total // (TASK_TOKENS * self.rows) + 1)
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         """The rank of each token, the number of frequent words for others."""
@@ -135,39 +154,32 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashes), n - 1)
         return np.where(self.hashes[at] == hashes, self.rank[at], n)
 
-    def contexts(self, rank: np.ndarray) -> np.ndarray:
-        """Frequent words stand for themselves, others for their class."""
-        return np.where(rank < CONTEXT_WORDS, rank, _RARE + 2 + self.child[np.minimum(rank, len(self.count))])
-
 
-def decisions(vocabulary: Vocabulary, rank: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What the model decides at each token: rows of weights, node, child, and the token decided upon."""
-    n = len(rank)
-    context = vocabulary.contexts(rank)
+def decisions(vocabulary: Vocabulary, token: np.ndarray, rank: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the model decides at each token: rows of each table, class, child, and the token decided upon."""
+    n = len(token)
     place = np.arange(n) - np.repeat(before[:-1], np.diff(before))
     back = []
     for k in (1, 2, 3):
-        w = np.full(n, _BEGIN, np.int64)
-        w[k:] = np.where(place[k:] >= k, context[:-k] if k < n else context[:0], _BEGIN)
-        back.append(w.astype(np.uint64))
-    pair = np.where((back[0] < PAIR_WORDS) & (back[1] < PAIR_WORDS), (back[0] << np.uint64(24)) + back[1] + np.uint64(1), 0).astype(np.uint64)
-    features = np.stack([np.zeros(n, np.uint64), back[0], back[1], back[2], pair])
-    kinds = mixed(np.arange(1, _FEATURES + 1, dtype=np.uint64))[:, None]
-    features = mixed(features + kinds)
-    own = np.flatnonzero(rank < vocabulary.own)
-    node = np.concatenate([np.zeros(n, np.int64), 1 + vocabulary.child[rank[own]]])
-    both = np.concatenate([features, features[:, own]], axis=1)
-    rows = (mixed(both ^ mixed(node.astype(np.uint64) + np.uint64(77))) & np.uint64(ROWS - 1)).astype(np.int32)
-    child = np.concatenate([vocabulary.child[np.minimum(rank, len(vocabulary.count))], rank[own] % WIDTH])
-    return rows, node, child, np.concatenate([np.arange(n), own])
+        w = np.full(n, _BEGIN, np.uint64)
+        w[k:] = np.where(place[k:] >= k, token[: max(0, n - k)], _BEGIN)
+        back.append(w)
+    features = [mixed(x + kind) for x, kind in zip((*back, mixed(back[0]) + back[1]), _KINDS[1:], strict=True)]
+    count = vocabulary.begins[rank + 1] - vocabulary.begins[rank]
+    at, way = np.repeat(np.arange(n), count), flat_ranges(vocabulary.begins[rank], count)
+    node, child = vocabulary.classes[way], vocabulary.children[way]
+    own = mixed(node.astype(np.uint64) + _KINDS[0])
+    low = np.uint64(vocabulary.rows - 1)
+    # multiplied and taken from the top: every bit of both counts
+    rows = np.stack([own & low, *((((f[at] ^ own) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & low for f in features)])
+    return rows.astype(np.int32), node, child, at
 
 
 def _scores(weights: np.ndarray, mask: np.ndarray, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The scores of a node's children, less the largest of them."""
-    out = weights.take(rows[0], axis=0)
-    for r in rows[1:]:
-        out += weights.take(r, axis=0)
-    out += mask.take(node, axis=0)
+    """The scores of a class's children, less the largest of them."""
+    out = mask.take(node, axis=0)
+    for table, r in zip(weights, rows, strict=True):
+        out += table.take(r, axis=0)
     out -= out.max(axis=1, keepdims=True)
     return out
 
@@ -193,7 +205,8 @@ class Trainer:
 
     def __init__(self, vocabulary: Vocabulary, weights: np.ndarray):
         self.vocabulary, self.before, self.weights = vocabulary, weights, weights.copy()
-        self.squares, self.updates = np.full(ROWS, 1e-6, np.float32), np.zeros(ROWS, np.int64)
+        self.squares, self.updates = np.full(weights.shape[:2], 1e-6, np.float32), np.zeros(weights.shape[:2], np.int32)
+        self.sorts = np.uint16 if weights.shape[1] <= 1 << 16 else np.uint32  # 16 bits are sorted by counting
 
     def learn(self, rows: np.ndarray, node: np.ndarray, child: np.ndarray) -> None:
         for low in range(0, len(node), STEP):
@@ -202,59 +215,75 @@ class Trainer:
             np.exp(slope, out=slope)
             slope /= slope.sum(axis=1, keepdims=True)
             slope[np.arange(len(slope)), child[part]] -= 1
-            for r in rows[:, part]:
-                order = np.argsort(r.astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
+            for r, weights, squares, updates in zip(rows[:, part], self.weights, self.squares, self.updates, strict=True):
+                order = np.argsort(r.astype(self.sorts), kind="stable")
                 row, n, total = _summed(r[order], slope.take(order, axis=0))
-                self.squares[row] += np.einsum("ij,ij->i", total, total) / WIDTH
-                self.updates[row] += n
-                total *= (RATE / np.sqrt(self.squares[row]))[:, None]
-                self.weights[row] = self.weights.take(row, axis=0) - total
-
-    def changes(self) -> Iterator[pa.RecordBatch]:
-        touched = np.flatnonzero(self.updates)
-        change = (self.weights[touched] - self.before[touched]).astype(np.float16)
-        block = touched // BLOCK
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(touched)] if len(touched) else [0]
-        parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+                squares[row] += np.einsum("ij,ij->i", total, total) / WIDTH
+                updates[row] += n
+                total *= (RATE / np.sqrt(squares[row]))[:, None]
+                weights[row] = weights.take(row, axis=0) - total
+
+    def changes(self, task: int) -> Iterator[pa.RecordBatch]:
+        updates = self.updates.ravel()
+        touched = np.flatnonzero(updates)
+        change = (self.weights.reshape(-1, WIDTH)[touched] - self.before.reshape(-1, WIDTH)[touched]).astype(np.float16)
+        cuts = np.searchsorted(touched, np.arange(0, len(updates) + 1, BLOCK)).tolist()
+        parts = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(block[a]) for a, _ in parts], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()) for x in (touched, self.updates[touched], change))],
-            names=["block", "rows", "updates", "change"],
+            [pa.array([k for k, _, _ in parts], pa.int64()), pa.array([task] * len(parts), pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for x in ((touched % BLOCK).astype(np.uint8), updates[touched], change))],
+            names=["block", "task", "rows", "updates", "change"],
         )
 
 
-def _averaged(t: pd.DataFrame) -> pd.DataFrame:
-    base = int(t["block"].iloc[0]) * BLOCK
-    total, weight = np.zeros((BLOCK, WIDTH)), np.zeros((BLOCK, 1))
-    for rows, updates, change in zip(t["rows"], t["updates"], t["change"], strict=True):
-        at, n = np.frombuffer(rows, np.int64) - base, np.frombuffer(updates, np.int64)[:, None]
-        total[at] += n * np.frombuffer(change, np.float16).reshape(-1, WIDTH).astype(float)
-        weight[at] += n
-    return pd.DataFrame({"block": [base // BLOCK], "change": [(total / np.maximum(weight, 1)).astype(np.float32).tobytes()]})
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block and change of all rows of each block. The rows come by block and task, and are added as they come."""
+
+    def out():
+        change = (total / np.maximum(weight, 1)).astype(np.float32)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([change.tobytes()], pa.binary())], names=["block", "change"])
+
+    at = None
+    for batch in batches:
+        for block, rows, updates, change in zip(*(batch.column(c) for c in (0, 2, 3, 4)), strict=True):
+            if block.as_py() != at:
+                if at is not None:
+                    yield out()
+                at, total, weight = block.as_py(), np.zeros((BLOCK, WIDTH)), np.zeros((BLOCK, 1))
+            place, n = np.frombuffer(rows.as_py(), np.uint8), np.frombuffer(updates.as_py(), np.int32)[:, None]
+            total[place] += n * np.frombuffer(change.as_py(), np.float16).reshape(-1, WIDTH).astype(float)
+            weight[place] += n
+    if at is not None:
+        yield out()
 
 
 def trained(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> np.ndarray:
-    """The table of weights after ROUNDS rounds, each over its share of `docs`; keys are dealt to rounds by hash."""
-    weights = np.zeros((ROWS, WIDTH), np.float32)
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, vocabulary.total // TASK_TOKENS + 1)
-    learned = docs.select(F.pmod(F.xxhash64(F.lit(ROUNDS), key), F.lit(ROUNDS)).alias("round"), text).coalesce(tasks)
-    for k in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))  # KNOWN_WORDS words and ROWS rows
+    """The tables of weights after all rounds, each over its share of `docs`."""
+    weights = np.zeros((len(_KINDS), vocabulary.rows, WIDTH), np.float32)
+    if not len(vocabulary.mask):
+        return weights
+    dealt = docs.select(F.xxhash64(F.lit(len(ROUNDS)), key, text).alias("order"), text)
+    for k, share in enumerate(ROUNDS):
+        shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))  # KNOWN_WORDS words and at most 2 ** MOST_ROWS rows a table
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocabulary, weights = shared.value
             trainer = Trainer(vocabulary, weights)
             for batch in batches:
-                for _, _, data, offsets in chunks(batch.column(0), 1 << 19):
+                for _, _, data, offsets in chunks(batch.column(0), 1 << 18):
                     token, before = tokens(data, offsets)
-                    rows, node, child, _ = decisions(vocabulary, vocabulary.ranks(token), before)
+                    rows, node, child, _ = decisions(vocabulary, token, vocabulary.ranks(token), before)
                     order = np.argsort(mixed(np.arange(len(node), dtype=np.uint64)))  # a fixed shuffle: words of a text are alike
                     trainer.learn(rows[:, order], node[order], child[order])
-            yield from trainer.changes()
-
-        changes = learned.where(F.col("round") == k).select(text).mapInArrow(task, "block long, rows binary, updates binary, change binary")
-        weights = weights.copy()
-        for r in changes.groupBy("block").applyInPandas(_averaged, "block long, change binary").collect():
-            weights[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.change, np.float32).reshape(BLOCK, WIDTH)
+            yield from trainer.changes(TaskContext.get().partitionId())
+
+        begin = sum(ROUNDS[:k])
+        mine = dealt.where(F.pmod("order", F.lit(sum(ROUNDS))).between(begin, begin + share - 1))
+        mine = mine.repartition(vocabulary.tasks, "order").sortWithinPartitions("order")
+        changes = mine.select(text).mapInArrow(task, "block long, task long, rows binary, updates binary, change binary")
+        flat = weights.copy().reshape(-1, WIDTH)
+        for r in changes.repartition("block").sortWithinPartitions("block", "task").mapInArrow(_averaged, "block long, change binary").collect():
+            flat[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.change, np.float32).reshape(BLOCK, WIDTH)
+        weights = flat.reshape(weights.shape)
         shared.unpersist()
     return weights
 
@@ -273,7 +302,7 @@ def scored(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
     The model learns from the rows where `training` holds. A null text is empty and has one
     token, its end; with nothing to learn from, all words are equally unknown. Rows stay
     apart, equal ones too. Counts are those of all training rows: what isn't among the
-    frequent words is looked up by a join.
+    frequent words is looked up by a join. The scores are the same on any number of cores.
     """
     learned = docs.where(training)
     counts = written(token_counts(learned, text), "token-counts")
@@ -286,15 +315,14 @@ def scored(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
         row = TaskContext.get().partitionId() << 36
         n = len(vocabulary.count)
         for batch in batches:
-            for low, high, data, offsets in chunks(batch.column(1), 1 << 19):
+            for low, high, data, offsets in chunks(batch.column(1), 1 << 18):
                 token, before = tokens(data, offsets)
                 rank = vocabulary.ranks(token)
-                rows, node, child, at = decisions(vocabulary, rank, before)
-                each = vocabulary.inside[rank].copy()  # 0 for words with classes of their own and for rare ones
+                rows, node, child, at = decisions(vocabulary, token, rank, before)
+                each = np.zeros(len(token))
                 for a in range(0, len(node), 2 * STEP):
                     part = slice(a, a + 2 * STEP)
                     logs = _scores(weights, vocabulary.mask, rows[:, part], node[part])
-                    # a token is decided upon once at each node, so none occurs twice here for one node
                     np.add.at(each, at[part], (logs[np.arange(len(logs)), child[part]] - np.log(np.exp(logs).sum(axis=1))) / math.log(10))
                 rare = rank == n
                 base = vocabulary.known_log[rank] - vocabulary.base_log
