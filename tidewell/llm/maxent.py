@@ -5,10 +5,10 @@ class has WIDTH children at most, which are classes or words. The probability of
 the product of the choices on its way, and each choice is a softmax over a class's children,
 whose scores are sums of rows of weights. There is a table of rows for each kind of feature,
 and a row is found by hashing the feature together with the class. The features are the class
-itself, the word before, the pair before, and the second and third word before alone; any
-words make features, however rare. Words that aren't among the KNOWN_WORDS most frequent are
-one leaf, and within it a word's count decides, looked up by a join. Counts are of all training
-rows, and the tables have more rows the more tokens there are.
+itself, the word before, the pair before, and the second word before alone; any words make
+features, however rare. Words that aren't among the KNOWN_WORDS most frequent are one leaf,
+and within it a word's count decides, looked up by a join. Counts are of all training rows,
+and the tables have more rows the more tokens there are.
 
 Training is data-parallel: in each round every task updates its copy of the tables by
 gradient steps over its documents, and the changes of a row are averaged over the tasks that
@@ -34,16 +34,16 @@ from tidewell.llm.arrays import chunks, flat_ranges, lowered, mixed, span_hashes
 from tidewell.llm.common import frequent, table, written
 
 #: Children of a class at most.
-WIDTH = 16
+WIDTH = 32
 #: Words in the tree, whose counts every task knows.
 KNOWN_WORDS = 1 << 18
 #: Base-2 logarithms of the rows of a table: the least, the most, and that of the tokens for each row beyond the least.
-LEAST_ROWS, MOST_ROWS, ROW_TOKENS = 17, 18, 11
+LEAST_ROWS, MOST_ROWS, ROW_TOKENS = 16, 17, 12
 #: Shares of the training documents that the rounds use, in sixteenths.
 ROUNDS = (4, 12)
 #: Training tokens of a task for each row of a table: a task passes on as much as the tables
 #: have rows. Few tokens are dealt to FEW_TASKS nevertheless, of LEAST_TOKENS at least.
-TASK_TOKENS, FEW_TASKS, LEAST_TOKENS = 96, 8, 1 << 19
+TASK_TOKENS, FEW_TASKS, LEAST_TOKENS = 160, 4, 1 << 19
 RATE = 0.25
 STEP = 8192
 #: Rows of weights that are averaged together.
@@ -51,8 +51,8 @@ BLOCK = 256
 
 END = mixed(np.array([0xE0D], np.uint64))[0]
 _BEGIN = mixed(np.array([0xBE6], np.uint64))[0]
-#: Kinds of features: the class, the word before, the second and third before, and the pair before.
-_KINDS = mixed(np.arange(1, 6, dtype=np.uint64))
+#: Kinds of features: the class, the word before, the second before, and the pair before.
+_KINDS = mixed(np.arange(1, 5, dtype=np.uint64))
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -160,7 +160,7 @@ def decisions(vocabulary: Vocabulary, token: np.ndarray, rank: np.ndarray, befor
     n = len(token)
     place = np.arange(n) - np.repeat(before[:-1], np.diff(before))
     back = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         w = np.full(n, _BEGIN, np.uint64)
         w[k:] = np.where(place[k:] >= k, token[: max(0, n - k)], _BEGIN)
         back.append(w)
