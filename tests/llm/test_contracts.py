@@ -139,21 +139,21 @@ def test_choices_on_all_ways_make_probabilities(size):
     hashes = maxent.mixed(np.arange(1, size + 1, dtype=np.uint64))
     order = np.argsort(hashes)
     v = maxent.Vocabulary(hashes[order], order, count, int(count.sum()) + 5, size + 3)
-    weights = rng.normal(size=(4, v.rows, maxent.WIDTH)).astype(np.float32)
+    weights = rng.normal(size=(3, v.rows, maxent.WIDTH)).astype(np.float32)
     total = 0.0
     for rank in range(size + 1):  # each word after the same two
         token = np.array([7, 8, hashes[rank] if rank < size else 9], np.uint64)
         rows, node, child, at = maxent.decisions(v, token, np.array([size, size, rank]), np.array([0, 3]))
         mine = at == 2
         if mine.any():
-            logs = maxent._scores(weights, v.mask, rows[:, mine], node[mine])
+            logs = maxent._scores(weights, v.prior, rows[:, mine], node[mine])
             total += math.exp(sum(logs[np.arange(len(logs)), child[mine]] - np.log(np.exp(logs).sum(axis=1))))
         else:
             total += 1
     assert abs(total - 1) < 1e-4
     if size == 300:
         depth = np.diff(v.begins)[:size]
-        assert (np.diff(depth) >= 0).all() and len(v.mask) == -(-size // (maxent.WIDTH - 1))
+        assert (np.diff(depth) >= 0).all() and len(v.prior) == -(-size // (maxent.WIDTH - 1))
 
 
 def test_personal_data(documents, rows, empty):

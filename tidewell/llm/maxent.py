@@ -3,12 +3,12 @@
 Words are the leaves of a tree of classes, made so that frequent words have short ways: each
 class has WIDTH children at most, which are classes or words. The probability of a word is
 the product of the choices on its way, and each choice is a softmax over a class's children,
-whose scores are sums of rows of weights. There is a table of rows for each kind of feature,
-and a row is found by hashing the feature together with the class. The features are the class
-itself, the word before, the pair before, and the second word before alone; any words make
-features, however rare. Words that aren't among the KNOWN_WORDS most frequent are one leaf,
-and within it a word's count decides, looked up by a join. Counts are of all training rows,
-and the tables have more rows the more tokens there are.
+whose scores are sums: the logarithm of the child's share of the class's counts, and a row of
+weights for each feature. There is a table of rows for each kind of feature, and a row is found
+by hashing the feature together with the class. The features are the word before, the second
+word before alone, and the pair; any words make features, however rare. Words that aren't among
+the KNOWN_WORDS most frequent are one leaf, and within it a word's count decides, looked up by
+a join. Counts are of all training rows, and the tables have more rows the more tokens there are.
 
 Training is data-parallel: in each round every task updates its copy of the tables by
 gradient steps over its documents, and the changes of a row are averaged over the tasks that
@@ -45,14 +45,15 @@ ROUNDS = (4, 12)
 #: have rows. Few tokens are dealt to FEW_TASKS nevertheless, of LEAST_TOKENS at least.
 TASK_TOKENS, FEW_TASKS, LEAST_TOKENS = 160, 4, 1 << 19
 RATE = 0.25
-STEP = 8192
+#: Decisions of a gradient step, and those that are scored together.
+STEP, SCORED = 32768, 8192
 #: Rows of weights that are averaged together.
 BLOCK = 256
 
 END = mixed(np.array([0xE0D], np.uint64))[0]
 _BEGIN = mixed(np.array([0xBE6], np.uint64))[0]
-#: Kinds of features: the class, the word before, the second before, and the pair before.
-_KINDS = mixed(np.arange(1, 5, dtype=np.uint64))
+#: Kinds of features: the word before, the second before, and the pair before.
+_KINDS = mixed(np.arange(1, 4, dtype=np.uint64))
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -136,12 +137,15 @@ class Vocabulary:
     def __post_init__(self):
         n = len(self.count)
         rest = self.total - int(self.count.sum())
-        self.classes, self.children, self.begins, sizes = tree_of(np.append(self.count, rest))  # the last leaf is for all other words
+        mass = np.append(self.count, rest)  # the last leaf is for all other words
+        self.classes, self.children, self.begins, sizes = tree_of(mass)
         self.rare_log = math.log10(rest + 0.5 * (self.distinct - n + 1))
         self.base_log = math.log10(self.total + 0.5 * (self.distinct + 1))
         self.known_log = np.append(np.log10(self.count + 0.5), 0.0)
         # children that don't exist get no probability
-        self.mask = np.where(np.arange(WIDTH) < sizes[:, None], 0, -1e9).astype(np.float32)
+        share = np.bincount(self.classes * np.int64(WIDTH) + self.children, np.repeat(mass, np.diff(self.begins)), len(sizes) * WIDTH).reshape(-1, WIDTH)
+        share = np.log(np.maximum(share, 0.5) / np.maximum(share.sum(axis=1, keepdims=True), 0.5))
+        self.prior = np.where(np.arange(WIDTH) < sizes[:, None], share, -1e9).astype(np.float32)
         bits = max(0, int(self.total).bit_length() - ROW_TOKENS)
         self.rows = 1 << min(MOST_ROWS, max(LEAST_ROWS, bits))
         self.tasks = max(min(FEW_TASKS, self.total // LEAST_TOKENS + 1), self.total // (TASK_TOKENS * self.rows) + 1)
@@ -164,20 +168,26 @@ def decisions(vocabulary: Vocabulary, token: np.ndarray, rank: np.ndarray, befor
         w = np.full(n, _BEGIN, np.uint64)
         w[k:] = np.where(place[k:] >= k, token[: max(0, n - k)], _BEGIN)
         back.append(w)
-    features = [mixed(x + kind) for x, kind in zip((*back, mixed(back[0]) + back[1]), _KINDS[1:], strict=True)]
+    features = [mixed(x + kind) for x, kind in zip((*back, mixed(back[0]) + back[1]), _KINDS, strict=True)]
     count = vocabulary.begins[rank + 1] - vocabulary.begins[rank]
     at, way = np.repeat(np.arange(n), count), flat_ranges(vocabulary.begins[rank], count)
     node, child = vocabulary.classes[way], vocabulary.children[way]
-    own = mixed(node.astype(np.uint64) + _KINDS[0])
+    own = mixed(node.astype(np.uint64) + np.uint64(77))
     low = np.uint64(vocabulary.rows - 1)
     # multiplied and taken from the top: every bit of both counts
-    rows = np.stack([own & low, *((((f[at] ^ own) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & low for f in features)])
+    rows = np.stack([(((f[at] ^ own) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & low for f in features])
     return rows.astype(np.int32), node, child, at
 
 
-def _scores(weights: np.ndarray, mask: np.ndarray, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
+def spread(n: int) -> np.ndarray:
+    """Numbers below n in an order in which neighbours lie far apart, as words of a text are alike."""
+    order = np.arange(-(-n // STEP) * STEP).reshape(STEP, -1).T.ravel()
+    return order[order < n]
+
+
+def _scores(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
     """The scores of a class's children, less the largest of them."""
-    out = mask.take(node, axis=0)
+    out = prior.take(node, axis=0)
     for table, r in zip(weights, rows, strict=True):
         out += table.take(r, axis=0)
     out -= out.max(axis=1, keepdims=True)
@@ -211,7 +221,7 @@ class Trainer:
     def learn(self, rows: np.ndarray, node: np.ndarray, child: np.ndarray) -> None:
         for low in range(0, len(node), STEP):
             part = slice(low, low + STEP)
-            slope = _scores(self.weights, self.vocabulary.mask, rows[:, part], node[part])
+            slope = _scores(self.weights, self.vocabulary.prior, rows[:, part], node[part])
             np.exp(slope, out=slope)
             slope /= slope.sum(axis=1, keepdims=True)
             slope[np.arange(len(slope)), child[part]] -= 1
@@ -223,20 +233,20 @@ class Trainer:
                 total *= (RATE / np.sqrt(squares[row]))[:, None]
                 weights[row] = weights.take(row, axis=0) - total
 
-    def changes(self, task: int) -> Iterator[pa.RecordBatch]:
+    def changes(self, group: int) -> Iterator[pa.RecordBatch]:
         updates = self.updates.ravel()
         touched = np.flatnonzero(updates)
         change = (self.weights.reshape(-1, WIDTH)[touched] - self.before.reshape(-1, WIDTH)[touched]).astype(np.float16)
         cuts = np.searchsorted(touched, np.arange(0, len(updates) + 1, BLOCK)).tolist()
         parts = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _, _ in parts], pa.int64()), pa.array([task] * len(parts), pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for x in ((touched % BLOCK).astype(np.uint8), updates[touched], change))],
-            names=["block", "task", "rows", "updates", "change"],
+            [pa.array([k for k, _, _ in parts], pa.int64()), pa.array([group] * len(parts), pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for x in ((touched % BLOCK).astype(np.uint8), updates[touched], change))],
+            names=["block", "group", "rows", "updates", "change"],
         )
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block and change of all rows of each block. The rows come by block and task, and are added as they come."""
+    """block and change of all rows of each block. The rows come by block and group, and are added as they come."""
 
     def out():
         change = (total / np.maximum(weight, 1)).astype(np.float32)
@@ -259,7 +269,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trained(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> np.ndarray:
     """The tables of weights after all rounds, each over its share of `docs`."""
     weights = np.zeros((len(_KINDS), vocabulary.rows, WIDTH), np.float32)
-    if not len(vocabulary.mask):
+    if not len(vocabulary.prior):
         return weights
     dealt = docs.select(F.xxhash64(F.lit(len(ROUNDS)), key, text).alias("order"), text)
     for k, share in enumerate(ROUNDS):
@@ -267,21 +277,30 @@ def trained(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> np.
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocabulary, weights = shared.value
-            trainer = Trainer(vocabulary, weights)
+            at = trainer = None
             for batch in batches:
-                for _, _, data, offsets in chunks(batch.column(0), 1 << 18):
-                    token, before = tokens(data, offsets)
-                    rows, node, child, _ = decisions(vocabulary, token, vocabulary.ranks(token), before)
-                    order = np.argsort(mixed(np.arange(len(node), dtype=np.uint64)))  # a fixed shuffle: words of a text are alike
-                    trainer.learn(rows[:, order], node[order], child[order])
-            yield from trainer.changes(TaskContext.get().partitionId())
+                group = batch.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if group[a] != at:
+                        if trainer is not None:
+                            yield from trainer.changes(at)
+                        at, trainer = int(group[a]), Trainer(vocabulary, weights)
+                    for _, _, data, offsets in chunks(batch.column(1).slice(a, b - a), 1 << 18):
+                        token, before = tokens(data, offsets)
+                        rows, node, child, _ = decisions(vocabulary, token, vocabulary.ranks(token), before)
+                        order = spread(len(node))
+                        trainer.learn(rows[:, order], node[order], child[order])
+            if trainer is not None:
+                yield from trainer.changes(at)
 
         begin = sum(ROUNDS[:k])
         mine = dealt.where(F.pmod("order", F.lit(sum(ROUNDS))).between(begin, begin + share - 1))
-        mine = mine.repartition(vocabulary.tasks, "order").sortWithinPartitions("order")
-        changes = mine.select(text).mapInArrow(task, "block long, task long, rows binary, updates binary, change binary")
+        # a partition may get several groups, which are trained apart all the same
+        mine = mine.withColumn("group", F.pmod(F.xxhash64("order"), F.lit(vocabulary.tasks))).repartition(4 * vocabulary.tasks, "group").sortWithinPartitions("group", "order")
+        changes = mine.select("group", text).mapInArrow(task, "block long, group long, rows binary, updates binary, change binary")
         flat = weights.copy().reshape(-1, WIDTH)
-        for r in changes.repartition("block").sortWithinPartitions("block", "task").mapInArrow(_averaged, "block long, change binary").collect():
+        for r in changes.repartition("block").sortWithinPartitions("block", "group").mapInArrow(_averaged, "block long, change binary").collect():
             flat[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.change, np.float32).reshape(BLOCK, WIDTH)
         weights = flat.reshape(weights.shape)
         shared.unpersist()
@@ -320,9 +339,9 @@ def scored(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
                 rank = vocabulary.ranks(token)
                 rows, node, child, at = decisions(vocabulary, token, rank, before)
                 each = np.zeros(len(token))
-                for a in range(0, len(node), 2 * STEP):
-                    part = slice(a, a + 2 * STEP)
-                    logs = _scores(weights, vocabulary.mask, rows[:, part], node[part])
+                for a in range(0, len(node), SCORED):
+                    part = slice(a, a + SCORED)
+                    logs = _scores(weights, vocabulary.prior, rows[:, part], node[part])
                     np.add.at(each, at[part], (logs[np.arange(len(logs)), child[part]] - np.log(np.exp(logs).sum(axis=1))) / math.log(10))
                 rare = rank == n
                 base = vocabulary.known_log[rank] - vocabulary.base_log
