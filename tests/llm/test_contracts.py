@@ -12,7 +12,7 @@ import pytest
 from conftest import DATA, compared
 
 from tidewell.llm import embedding_join, language_id, line_dedup, maxent, mpeg_audio, packing, personal_data, shingle_join, token_counts, word_bpe
-from tidewell.llm.queries import QUERIES
+from tidewell.llm.queries import ORACLE, QUERIES
 
 SF = f"{DATA}/sf0.001"
 LONG = "word pair and more " * 3000
@@ -451,8 +451,9 @@ def test_keys_with_two_texts_have_the_links_of_both(spark):
     assert got == {i: i if i < 100 else (i - 100) // 2 for i, _ in rows}
 
 
-def test_lines_agree_with_sql(spark):
-    got, want = compared("op10_line_dedup", spark)
+@pytest.mark.parametrize("name", ORACLE)
+def test_operators_agree_with_sql(spark, name):
+    got, want = compared(name, spark)
     assert got == want
 
 

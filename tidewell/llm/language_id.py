@@ -38,13 +38,15 @@ def dictionaries(labelled: DataFrame, lang: str = "lang", text: str = "text", ke
     """One dictionary per value of `lang`, from at most SAMPLE_DOCUMENTS of its rows.
 
     The rows are the first by a hash of `key`, so the sample is the same on every run.
-    Rows with null lang, text or key aren't used; equal texts count once.
+    Rows with null lang, text or key aren't used; equal texts count once. Of the samples'
+    bytes, one after the other in that order, the last DICTIONARY_BYTES make the dictionary.
     """
     keys = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("key"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
     chosen = keys.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_DOCUMENTS).select("key").distinct()
-    ids = [r.key for r in chosen.collect()]
-    rows = labelled.where(F.col(key).isin(ids)).select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, SAMPLE_CHARACTERS).alias("sample"), F.xxhash64(key).alias("order")).distinct()
+    rows = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, SAMPLE_CHARACTERS).alias("sample"))
+    # SAMPLE_DOCUMENTS keys a language
+    rows = rows.join(F.broadcast(chosen), "key", "left_semi").select("lang", "sample", F.xxhash64("key").alias("order")).distinct()
     samples: dict[str, dict[str, None]] = {}
     for r in sorted((r for r in rows.collect() if r.lang is not None and r.sample), key=lambda r: (r.lang, r.order, r.sample)):
         samples.setdefault(r.lang, {})[r.sample.lower()] = None

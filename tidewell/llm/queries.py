@@ -22,5 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_embedding_join": embedding_join.ORACLE,
+    "op9_shingle_join": shingle_join.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
