@@ -129,6 +129,52 @@ def test_stored_duplicates_and_expired_rows_go_when_compacted(spark, tmp_path):
     assert events_table.is_ready(spark)
 
 
+def test_final_reads_only_the_days_asked_for(spark, tmp_path):
+    path = str(tmp_path / "a")
+    events_table.write_events(events(spark, *((DAY - timedelta(days=d), {}) for d in range(5))), path)
+    rows = timeline(events_table.read_events(spark, path, final=True), TimelineRequest(SCOPE, 9, before=DAY - timedelta(days=3)))
+    assert [r.timestamp for r in rows.collect()] == [DAY - timedelta(days=4)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_files_follow_the_bytes_of_a_day(spark, tmp_path):
+    import glob
+
+    small, large = str(tmp_path / "small"), str(tmp_path / "large")
+    events_table.write_events(events(spark, *((DAY, {"tenant_id": f"t{i}"}) for i in range(40))), small)
+    assert len(glob.glob(f"{small}/*/*.parquet")) <= 2
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        wide = events(spark, (DAY, {})).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40_000)))).withColumn("event_id", F.sha2(F.col("n").cast("string").cast("binary"), 256)).drop("n").repartition(16)
+        events_table.write_events(wide, large)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(glob.glob(f"{large}/*/*.parquet")) >= 4
+    assert events_table.read_events(spark, large).count() == 40_000
+
+
+def test_truncated_tables_take_new_events(spark, tmp_path):
+    path = str(tmp_path / "a")
+    events_table.write_events(events(spark, (DAY, {})), path)
+    events_table.truncate(spark, path)
+    assert events_table.read_events(spark, path).count() == 0
+    events_table.write_events(events(spark, (DAY, {"event_id": "new"})), path)
+    assert [r.event_id for r in events_table.read_events(spark, path).collect()] == ["new"]
+
+
+def test_landed_files_are_archived(spark, tmp_path):
+    import glob
+
+    landing, table, checkpoint, archive = (str(tmp_path / x) for x in ("landing", "table", "checkpoint", "archive"))
+    for k in range(3):
+        land(events(spark, (DAY, {"event_id": f"00000000-0000-0000-0000-{k:012d}"})), landing)
+        ingest.supervised(lambda: ingest.start(spark, landing, table, checkpoint, once=True, archive=archive))
+    assert glob.glob(f"{archive}/**/*.txt", recursive=True)
+    assert events_table.read_events(spark, table).count() == 3
+
+
 def test_a_changed_time_or_type_is_another_event(spark):
     e = events(spark, (DAY, {"event_id": "x"}), (DAY, {"event_id": "x", "event_type": "view"}), (DAY + timedelta(days=1), {"event_id": "x"}), (DAY, {"event_id": "x"}))
     assert events_table.deduplicated(e).count() == 3

@@ -15,10 +15,11 @@ STORED_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField(EVENT_DATE, T.
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Rows are dealt by day and, within it, by tenant, so a day is a few files however large,
-    each with a narrow range of keys for row groups to be skipped by."""
+    """Rows are dealt by day and, within it, by tenant, each file with a narrow range of keys for
+    row groups to be skipped by. Spark joins small parts and splits large ones by their bytes,
+    so a small batch writes few files and a large tenant's day as many as it needs."""
     dated = events.select(*EVENT_SCHEMA.names, F.to_date("timestamp").alias(EVENT_DATE))
-    dealt = dated.repartition(EVENT_DATE, "project_id", "tenant_id", F.pmod(F.xxhash64("event_id"), F.lit(16)))
+    dealt = dated.hint("rebalance", EVENT_DATE, "project_id", "tenant_id")
     ordered = dealt.sortWithinPartitions(EVENT_DATE, "project_id", "tenant_id", "event_type", "timestamp")
     ordered.write.mode(mode).partitionBy(EVENT_DATE).option("compression", "zstd").parquet(path)
 
@@ -33,8 +34,12 @@ def read_events(spark: SparkSession, path: str, final: bool = False) -> DataFram
 
 
 def deduplicated(events: DataFrame, *latest_first) -> DataFrame:
-    """One row for each DEDUP_KEY, the first in the given order."""
-    order = Window.partitionBy(*DEDUP_KEY).orderBy(*(latest_first or [F.lit(0)]))
+    """One row for each DEDUP_KEY, the first in the given order.
+
+    The day follows from the key; it is named too, so that a filter on days reaches the scan.
+    """
+    day = [EVENT_DATE] if EVENT_DATE in events.columns else []
+    order = Window.partitionBy(*DEDUP_KEY, *day).orderBy(*(latest_first or [F.lit(0)]))
     return events.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
 
 

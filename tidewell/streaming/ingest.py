@@ -18,9 +18,16 @@ from tidewell.sources.events_table import write_events
 from tidewell.sources.payloads import single_events, valid
 
 
-def start(spark: SparkSession, landing: str, table: str, checkpoint: str, once: bool = False, config: EngineConfig = EngineConfig()) -> StreamingQuery:
-    """Runs until stopped; with `once`, until all that has landed is in the table."""
-    lines = spark.readStream.option("maxFilesPerTrigger", config.batch_files).text(landing)
+def start(spark: SparkSession, landing: str, table: str, checkpoint: str, once: bool = False, config: EngineConfig = EngineConfig(), archive: str | None = None) -> StreamingQuery:
+    """Runs until stopped; with `once`, until all that has landed is in the table.
+
+    With `archive`, a folder outside of `landing`, files go there once a later batch has been
+    committed; without, they stay.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", config.batch_files)
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    lines = reader.text(landing)
 
     def commit(batch: DataFrame, _: int) -> None:
         write_events(batch, table)
