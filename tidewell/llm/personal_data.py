@@ -12,8 +12,6 @@ Only DataFrame functions are used. Each text is looked at once, however many row
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +33,16 @@ PATTERNS = {
 }
 #: What may be an identifier: letters, digits and joining signs with a digit among the first 64.
 TOKEN = r"(?<![\p{L}\p{N}])(?=[\p{L}._%+@:/-]{0,64}[0-9])[\p{L}\p{N}](?:[\p{L}\p{N}._%+@:/-]*[\p{L}\p{N}])?"
+#: What `_matches` calls seeds and tokens alike, which may be identifiers.
+CANDIDATE = "candidate"
 #: Nothing of the above is in a text without one of these.
 ANY = "[0-9@]"
 
 #: Characters of text on either side in which neighbouring words are looked for.
 CONTEXT = 64
+#: Bytes of text that a task looks through, some seconds of work; beyond MOST_TASKS of them, tasks get more.
+TASK_BYTES = 16 << 20
+MOST_TASKS = 100_000
 ROUNDS = 3
 #: A pattern needs this score to discover, an identifier this one to be discovered.
 PATTERN_SCORE = 0.6
@@ -75,27 +78,39 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("_one"), F.xxhash64(F.length(text), F.reverse(text)).alias("_two")]
 
 
-def _matches(texts: DataFrame, pattern: str) -> DataFrame:
-    """_start and _end of every match of `pattern` in _text, with _match and the text around it."""
-    pieces = texts.select(*_KEY, "_text", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)).alias("_found")).where(F.size("_found") > 0)
-    pieces = pieces.select(*_KEY, "_found", F.split("_text", pattern, -1).alias("_gaps"))
-    each = pieces.select(*_KEY, F.posexplode(F.arrays_zip("_found", "_gaps")).alias("_i", "_x"))
-    each = each.select(*_KEY, "_i", F.col("_x._found").alias("_match"), F.col("_x._gaps").alias("_gap"))
+def _dealt(texts: DataFrame) -> DataFrame:
+    """`texts` in as many partitions as their bytes ask for, by their keys."""
+    size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    return texts.repartition(min(1 + size // TASK_BYTES, MOST_TASKS), *_KEY)
+
+
+def _matches(texts: DataFrame) -> DataFrame:
+    """kind, _start and _end of every match of every pattern in _text, with _match and the text around it.
+
+    All patterns are looked for in one stage; what is found in a text stays in its partition.
+    """
+    looked_for = {**PATTERNS, CANDIDATE: "|".join([PATTERNS["email"], PATTERNS["phone"], PATTERNS["card"], PATTERNS["ip"], TOKEN])}
+    each = [F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern"), F.regexp_extract_all("_text", F.lit(p), F.lit(0)).alias("found")) for k, p in looked_for.items()]
+    pieces = texts.select(*_KEY, "_text", F.inline(F.array(*each))).where(F.size("found") > 0)
+    pieces = pieces.select(*_KEY, "kind", F.col("found").alias("_found"), F.split("_text", F.col("pattern"), -1).alias("_gaps"))
+    each = pieces.select(*_KEY, "kind", F.posexplode(F.arrays_zip("_found", "_gaps")).alias("_i", "_x"))
+    each = each.select(*_KEY, "kind", "_i", F.col("_x._found").alias("_match"), F.col("_x._gaps").alias("_gap"))
     # the text after the last match is a gap without a match
-    order = Window.partitionBy(*_KEY).orderBy("_i")
+    order = Window.partitionBy(*_KEY, "kind").orderBy("_i")
     upto = F.sum(F.length("_gap") + F.coalesce(F.length("_match"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     each = each.withColumn("_end", upto).withColumn("_after", F.substring(F.lead("_gap").over(order), 1, CONTEXT)).where("_match is not null")
-    return each.select(*_KEY, (F.col("_end") - F.length("_match")).alias("_start"), "_end", "_match", F.substring("_gap", -CONTEXT, CONTEXT).alias("_before"), "_after")
+    return each.select(*_KEY, "kind", (F.col("_end") - F.length("_match")).alias("_start"), "_end", "_match", F.substring("_gap", -CONTEXT, CONTEXT).alias("_before"), "_after")
 
 
-def _base(texts: DataFrame) -> DataFrame:
+def _base(matches: DataFrame) -> DataFrame:
     """The spans that the fixed patterns find."""
-    return reduce(DataFrame.union, (_matches(texts, PATTERNS[k]).where(valid(k, F.col("_match"))).select(*_KEY, F.lit(k).alias("kind"), F.col("_start").alias("start"), F.col("_end").alias("end")) for k in KINDS))
+    counts = F.coalesce(*(F.when(F.col("kind") == k, valid(k, F.col("_match"))) for k in KINDS), F.lit(False))
+    return matches.where(counts).select(*_KEY, "kind", F.col("_start").alias("start"), F.col("_end").alias("end"))
 
 
-def _occurrences(texts: DataFrame) -> DataFrame:
+def _occurrences(matches: DataFrame) -> DataFrame:
     """Seeds and other possible identifiers, where they stand, and the patterns they stand in."""
-    found = _matches(texts, "|".join([PATTERNS["email"], PATTERNS["phone"], PATTERNS["card"], PATTERNS["ip"], TOKEN]))
+    found = matches.where(F.col("kind") == CANDIDATE)
     seed = F.coalesce(*(F.when(F.col("_match").rlike(f"^(?:{PATTERNS[k]})$") & valid(k, F.col("_match")), F.lit(k)) for k in ("email", "phone", "card", "ip")))
     shape = F.regexp_replace(F.regexp_replace("_match", "[0-9]", "0"), r"\p{L}+", "a")
     before = F.split(F.lower(F.regexp_replace("_before", r"\s+$", "")), r"\s+")
@@ -134,8 +149,9 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     texts = docs.select(t.alias("_text"), *_text_key(t)).where(F.col("_text").rlike(ANY))
     texts = written(texts.groupBy(*_KEY).agg(F.any_value("_text").alias("_text")), "texts")
-    base = _base(texts).withColumn("base", F.lit(True))
-    found = written(_occurrences(texts), "identifiers")
+    matches = written(_matches(_dealt(texts)), "matches")
+    base = _base(matches).withColumn("base", F.lit(True))
+    found = written(_occurrences(matches), "identifiers")
     _, items = scores(found)
     trusted = items.where(F.col("score") >= IDENTIFIER_SCORE).select("item", "kind")
     more = found.where("seed is null").join(trusted, "item").select(*_KEY, "kind", "start", "end", F.lit(False).alias("base"))
