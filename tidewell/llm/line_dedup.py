@@ -36,6 +36,18 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """`lines` but those at the places `gone`, which are in order; in time that grows with their number only."""
+
+    def upto(i: Column) -> Column:
+        between = F.get(gone, i) - F.coalesce(F.get(gone, i - 1), F.lit(-1)) - 1
+        return F.concat(F.array_repeat(F.lit(False), between), F.array(F.lit(True)))
+
+    goes = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone) - 1), upto))
+    kept = F.filter(F.arrays_zip(lines.alias("line"), goes.alias("goes")), lambda x: ~F.coalesce(x["goes"], F.lit(False)))
+    return F.transform(kept, lambda x: x["line"])
+
+
 def boilerplate(docs: DataFrame, text: str = "text", source: str = "source", sites: int = SITES) -> DataFrame:
     """Hashes (`_line`) of the lines that `sites` distinct sites or more have.
 
@@ -66,13 +78,12 @@ def cleaned(docs: DataFrame, text: str = "text", source: str = "source", sites:
     by_text = [F.xxhash64("_text").alias("_hash"), F.length("_text").alias("_length")]
     at = whole.select(*by_text, F.posexplode(_lines(F.col("_text"))).alias("_at", "_one")).where(F.trim("_one") != "").select("_hash", "_length", "_at", F.length("_one").alias("_size"), _key(F.col("_one")).alias("_line"))
     hit = at.join(wide, "_line", "left_semi").groupBy("_hash", "_length").agg(F.collect_set(F.struct("_at", "_size")).alias("_hit"))
-    hit = hit.withColumn("_size", F.aggregate("_hit", F.lit(0).cast("long"), lambda n, x: n + x["_size"])).withColumn("_gone", F.transform("_hit", lambda x: x["_at"])).drop("_hit")
+    hit = hit.withColumn("_size", F.aggregate("_hit", F.lit(0).cast("long"), lambda n, x: n + x["_size"])).withColumn("_gone", F.sort_array(F.transform("_hit", lambda x: x["_at"]))).drop("_hit")
     hit = written(hit, "line-hits")  # a table of its own, so that the join below may split the copies of one text
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")).select("_row", "_text", *by_text)
     # the hits grow with the input, so they are never broadcast: the plan is the same at every size
     both = own.join(hit.hint("merge"), ["_hash", "_length"], "left")
-    rest = F.array_join(F.filter(_lines(F.col("_text")), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    both = both.withColumn("_rest", F.when(F.col("_gone").isNotNull(), rest))
+    both = both.withColumn("_rest", F.when(F.col("_gone").isNotNull(), F.array_join(_without(_lines(F.col("_text")), F.col("_gone")), "\n")))
     goes = F.coalesce(F.col("_rest").rlike(r"\S") if mostly is None else F.col("_size") <= mostly * F.col("_length"), F.lit(False))
     out = [F.when(goes, F.col("_rest")).otherwise(F.col("_text")).alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
     if counts:
