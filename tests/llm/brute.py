@@ -139,3 +139,20 @@ def piece_count(word, pieces, longest):
         size = next((k for k in range(min(longest, len(data) - at), 1, -1) if data[at : at + k] in pieces), 1)
         at, n = at + size, n + 1
     return n
+
+
+def smallest(text, samples, settings, segment, narrow):
+    """(language, score, rejected) by compressing each segment with each language's text before it."""
+    import zstandard
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, True
+    data, sizes = text.lower().encode(), []
+    for language, sample in samples.items():
+        total = 0
+        for a in range(0, len(data), segment):
+            content = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            total += len(zstandard.ZstdCompressor(dict_data=content, compression_params=settings).compress(data[a : a + segment]))
+        sizes.append((total, language))
+    best, second = sorted(sizes)[:2]
+    return best[1], (second[0] - best[0]) / second[0], second[0] - best[0] < narrow * best[0]

@@ -184,6 +184,21 @@ def test_masking_keeps_rows_and_other_columns(awkward, empty):
     assert personal_data.masked(empty).count() == 0
 
 
+def test_language_is_that_of_the_fewest_bytes(spark):
+    import zstandard
+
+    samples = {"b": ("der die das und nicht mit sich auf " * 3).encode(), "a": ("the and of not with itself upon a " * 3).encode(), "c": b""}
+    texts = ["The AND of not with", "der Hund und die Katze " * 300, "the der and die", "zzz qqq", "zz " * 2000, "12 34", "", None, "É", "\x00a"]
+    settings = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, min_match=language_id.MIN_MATCH, strategy=language_id.STRATEGY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    want = [brute.smallest(t, samples, settings, language_id.SEGMENT_BYTES, language_id.NARROW) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(language_id.identified(docs, samples), "lang_pred", "score", "rejected")
+    assert [got[i] for i in range(len(texts))] == want
+    assert {w[0] for w in want} >= {"a", "b", "und"} and {w[2] for w in want} == {True, False}
+    tied = language_id.identified(docs.where("doc_id = 0"), {"y": samples["a"], "x": samples["a"]}).first()
+    assert (tied.lang_pred, tied.score, tied.rejected) == ("x", 0.0, True)  # of equal sizes the first by name, rejected
+
+
 def test_language(spark, documents, awkward, empty):
     out = QUERIES["op5_language_id"](spark, f"{DATA}/sf0.01")
     truth = by_id(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), "lang")

@@ -369,3 +369,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `query` returns of counts, which SQL can express; sums to three places, as their order differs."""
+    out = query(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+# crc32 bit by bit: each byte comes with seven zeros, and each step shifts by one
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295)"
+BASE_ORACLE = f"""
+WITH tokens AS (
+  SELECT doc_id, {_CRC} % 5 = 1 AS held_out,
+         unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '')) AS token
+  FROM documents
+), counts AS (
+  SELECT token, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY token
+), total AS (
+  SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM counts
+)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens,
+       round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 3) AS base_score
+FROM tokens LEFT JOIN counts USING (token) CROSS JOIN total GROUP BY doc_id
+"""

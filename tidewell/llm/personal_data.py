@@ -205,3 +205,41 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(table(spark, sf_dir, "documents"))
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `query` returns of the fixed patterns, which SQL can express."""
+    return query(spark, sf_dir).drop("spans")
+
+
+_COUNTS = {
+    "email": "true",
+    "ip": "list_bool_and(list_transform(string_split(m, '.'), lambda p: p::DOUBLE <= 255))",
+    "card": "length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: (substr(digits, -i, 1)::INT * (2 - i % 2)) // 10 + (substr(digits, -i, 1)::INT * (2 - i % 2)) % 10)) % 10 = 0",
+    "phone": "length(digits) BETWEEN 9 AND 15",
+}
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_PARTS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS k, regexp_extract_all(text, '{p}') AS found, string_split_regex(text, '{p}') AS gaps FROM documents WHERE text IS NOT NULL" for i, (k, p) in enumerate(_PLAIN.items()))
+BASE_ORACLE = f"""
+WITH parts AS ({_PARTS}), pieces AS (
+  SELECT doc_id, kind, k, unnest(found) AS m, unnest(gaps) AS gap, generate_subscripts(gaps, 1) AS i FROM parts WHERE len(found) > 0
+), placed AS (
+  SELECT doc_id, kind, k, m, regexp_replace(m, '[^0-9]', '', 'g') AS digits,
+         sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop
+  FROM pieces
+), spans AS (
+  SELECT doc_id, kind, k, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop FROM placed
+  WHERE m IS NOT NULL AND CASE kind {" ".join(f"WHEN '{k}' THEN {c}" for k, c in _COUNTS.items())} END
+), per AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)},
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS listed
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in KINDS)}, sha256(coalesce(listed, '')) AS base_sha256
+FROM documents d LEFT JOIN per p ON d.doc_id = p.doc_id
+"""

@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.query,
     "op9_shingle_join": shingle_join.query,
     "op10_line_dedup": line_dedup.query,
+    # columns of op3 and op4 that SQL can express
+    "language_model_base": maxent.base_query,
+    "personal_data_base": personal_data.base_query,
 }
 
 ORACLE: dict[str, str] = {
     "op1_embedding_join": embedding_join.ORACLE,
     "op9_shingle_join": shingle_join.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "language_model_base": maxent.BASE_ORACLE,
+    "personal_data_base": personal_data.BASE_ORACLE,
 }
