@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 from conftest import DATA, compared
@@ -447,6 +448,46 @@ def test_large_groups_are_split_without_losing_links(spark, monkeypatch):
         assert by_id(shingle_join.classes(docs, size=size, percent=percent), "n", "component", key="_doc") == brute.near_copies(rows, size, percent)
 
 
+def test_near_copies_of_a_copied_text_stay_out_of_other_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base)) for i in range(500, 503)]
+    for i in range(80):  # two places changed: linked with the text, hardly with one another
+        w = base.copy()
+        for k in (0, 100):
+            w[k + rng.randrange(90)] = f"x{i}-{k}"
+        rows.append((i, " ".join(w)))
+    visitors, searched = [], shingle_join._searched
+    monkeypatch.setattr(shingle_join, "_searched", lambda blocks, percent: visitors.append(blocks.where("visitor = 1").count()) or searched(blocks, percent))
+    monkeypatch.setattr(shingle_join, "PIVOTS", 0)
+    monkeypatch.setattr(shingle_join, "GROUP_MEMBERS", 10)
+    got = by_id(shingle_join.classes(spark.createDataFrame(rows, "doc_id long, text string")), "n", "component", key="_doc")
+    assert got == brute.near_copies(rows) and {c for _, c in got.values()} == {0}
+    assert len(visitors) == 2 and visitors[0] > 0 == visitors[1]
+
+
+def test_search_finds_one_member_of_each_linked_component(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(np.where(rng.random(60) < 0.06, rng.integers(1000, 1200, 60), np.arange(60))).astype(np.uint64) for _ in range(90)]
+    sets += [np.unique(rng.integers(0, 60, 50)).astype(np.uint64) for _ in range(10)]
+    labels = rng.integers(0, 40, 80).tolist()
+
+    def linked(x, y):
+        k = len(np.intersect1d(x, y))
+        return 100 * k >= 85 * (len(x) + len(y) - k)
+
+    for probe in (0, shingle_join.PROBE, 1 << 40):
+        monkeypatch.setattr(shingle_join, "PROBE", probe)
+        block = shingle_join.Block(sets[:80], labels)
+        for q, s in enumerate(sets):
+            own = labels[q] if q < 80 else -1
+            found = block.search(s, own)
+            assert sorted(labels[d] for d in found) == sorted({x for d, x in enumerate(labels) if x != own and linked(s, sets[d])})
+            assert all(linked(s, sets[d]) for d in found)
+
+
 def test_rows_with_one_key_and_size_keep_their_own_links(spark):
     one, two = ([f"{k}{i}" for i in range(60)] for k in "ab")
     rows = [(1, one), (1, two), (2, [*one[:-1], "x"]), (3, [*two[:-1], "y"])]

@@ -3,26 +3,23 @@
 Two sets whose Jaccard similarity is 0.85 or more share one of their rarest shingles, so
 each document's rarest shingles (about 15 %) stand in an inverted index. Documents of a list
 whose sizes fit come together under the smallest of them, whole sets with them, and there a
-T-occurrence search finds the links: the short inverted lists are merged by a heap, the
-long ones are probed by binary search (DivideSkip), and documents that reach the overlap
-are linked. Equal sets are one member from the start, and links inside a component that is
+T-occurrence search finds the links: the short inverted lists are counted, the long ones
+are probed by binary search or, where most members may still reach the overlap, counted, too
+(DivideSkip), and documents that reach the overlap are linked. Equal sets are one member from the start, and links inside a component that is
 known already aren't looked for, so a group of near copies costs a few searches.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrays import chunks, lowered, mixed, span_hashes, words
+from tidewell.llm.arrays import chunks, flat_ranges, lowered, mixed, span_hashes, words
 from tidewell.llm.common import table, written
 from tidewell.llm.components import components
 
@@ -39,10 +36,12 @@ CLASSES = 256
 GROUP_MEMBERS = 256
 #: Shingles in a block of a group, which is split if it has more; and visitors that are held at once.
 BLOCK_SHINGLES = 1 << 20
-#: Members that visit every block of a split group, about.
+#: Members that visit every block of a split group, about, besides the one with the most exact copies.
 PIVOTS = 16
 #: DivideSkip sets aside T / (MU * log2(longest list) + 1) lists for probing.
 MU = 0.0085
+#: Entries of a list that are counted in the time of one probe.
+PROBE = 16
 
 #: Stands for the numbers in each class where they aren't known.
 _FULL = b"\xff" * (4 * CLASSES)
@@ -155,79 +154,80 @@ def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int =
 
 
 class Block:
-    """Sets side by side, with an inverted index of the shingles that several of them have."""
+    """Sets side by side, with an inverted index of their shingles, in which any set can be searched for."""
 
     def __init__(self, sets: list[np.ndarray], labels: list[int], percent: int = PERCENT):
-        self.percent = percent
-        self.sizes = [len(s) for s in sets]
-        self.labels = labels  # equal: known to be in one component
+        self.percent, self.sets = percent, sets
+        self.sizes = np.array([len(s) for s in sets])
+        self.labels = np.array(labels, np.int64)  # equal: known to be in one component
         members: dict[int, list[int]] = {}
         for i, x in enumerate(labels):
             members.setdefault(x, []).append(i)
         self.members = members
+        self.joined: dict[int, int] = {}  # labels that are gone, and what they are part of
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         values = np.concatenate(sets)
         order = np.argsort(values, kind="stable")
         values, self.owners = values[order], owner[order]
-        begins = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-        ends = np.append(begins[1:], len(values))
-        lists = np.flatnonzero(ends - begins > 1)
-        self.begins, self.ends = begins[lists], ends[lists]
-        # the lists that each set is in
-        of = np.repeat(np.arange(len(lists)), self.ends - self.begins)
-        who = np.concatenate([self.owners[a:b] for a, b in zip(self.begins.tolist(), self.ends.tolist(), strict=True)]) if len(lists) else np.zeros(0, np.int64)
-        by = np.argsort(who, kind="stable")
-        self.mine, self.cuts = of[by], np.searchsorted(who[by], np.arange(len(sets) + 1))
-
-    def search(self, q: int) -> list[int]:
-        """Sets outside the component of q that are linked with it, one of each component at least."""
-        need = least_overlap(self.sizes[q], self.percent)
-        mine = self.mine[self.cuts[q] : self.cuts[q + 1]]
-        if not need or len(mine) < need:
+        self.begins = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+        self.lengths = np.diff(np.append(self.begins, len(values)))
+        self.shingles = values[self.begins]
+        # list and owner of each entry as one ascending number, which is found by binary search
+        self.entries = np.repeat(np.arange(len(self.begins)), self.lengths) * len(sets) + self.owners
+
+    def _counted(self, lists: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owners[flat_ranges(self.begins[lists], self.lengths[lists])], minlength=len(self.sets))
+
+    def label(self, x: int) -> int:
+        while x in self.joined:
+            x = self.joined[x]
+        return x
+
+    def search(self, s: np.ndarray, label: int) -> list[int]:
+        """Members linked with the set that aren't in the component of `label`, one of each component at least."""
+        need = least_overlap(len(s), self.percent)
+        others = self.labels != label
+        if not need or not others.any() or not len(self.shingles):
             return []
-        lengths = self.ends[mine] - self.begins[mine]
-        mine = mine[np.argsort(lengths, kind="stable")]
-        lists = [self.owners[a:b].tolist() for a, b in zip(self.begins[mine].tolist(), self.ends[mine].tolist(), strict=True)]
-        aside = min(need - 1, int(need / (MU * math.log2(len(lists[-1])) + 1)))
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        found, seen = [], {self.labels[q]}
-        for d, run in groupby(heapq.merge(*short)):
-            if self.labels[d] in seen:
-                continue
-            n = sum(1 for _ in run)
-            enough = -(-self.percent * (self.sizes[q] + self.sizes[d]) // (100 + self.percent))
-            if n < enough - aside:
-                continue
-            left = aside
-            for probed in long:
-                if n + left < enough:
-                    break
-                i = bisect_left(probed, d)
-                n += i < len(probed) and probed[i] == d
-                left -= 1
-            if n >= enough:
-                found.append(d)
-                seen.add(self.labels[d])
-        return found
-
-    def link(self, q: int) -> Iterator[tuple[int, int]]:
-        """Runs the search for q and joins the components it links."""
-        for d in self.search(q):
-            keep, gone = self.labels[q], self.labels[d]
-            if len(self.members[keep]) < len(self.members[gone]):
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        mine = at[self.shingles[at] == s]
+        if len(mine) < need:
+            return []
+        mine = mine[np.argsort(self.lengths[mine], kind="stable")]
+        aside = min(need - 1, int(need / (MU * math.log2(max(2, self.lengths[mine[-1]])) + 1)))
+        short, long = mine[: len(mine) - aside], mine[len(mine) - aside :]
+        n = self._counted(short)
+        enough = -(-self.percent * (len(s) + self.sizes) // (100 + self.percent))
+        found = np.flatnonzero(others & (n >= enough - aside))
+        if len(found) and len(long):
+            if PROBE * len(found) * len(long) < self.lengths[long].sum():
+                probed = long[:, None] * len(self.sets) + found
+                n[found] += (self.entries[np.minimum(np.searchsorted(self.entries, probed), len(self.entries) - 1)] == probed).sum(axis=0)
+            else:
+                n += self._counted(long)
+            found = found[n[found] >= enough[found]]
+        return found[np.sort(np.unique(self.labels[found], return_index=True)[1])].tolist()
+
+    def link(self, s: np.ndarray, label: int) -> Iterator[int]:
+        """Runs the search for a set with a label and joins the components it links."""
+        for d in self.search(s, label := self.label(label)):
+            keep, gone = label, int(self.labels[d])
+            if len(self.members.get(keep, ())) < len(self.members[gone]):
                 keep, gone = gone, keep
-            for i in self.members[gone]:
-                self.labels[i] = keep
-            self.members[keep] += self.members.pop(gone)
-            yield q, d
+            moved = self.members.pop(gone, [])
+            self.labels[moved] = keep
+            self.members[keep] += moved
+            self.joined[gone] = label = keep
+            yield d
 
     def links(self) -> Iterator[tuple[int, int]]:
         """Links that join all that is linked. A pair is settled once one of the two has been
         searched for, so nothing is left to do when only members of the largest component haven't."""
-        for q in range(len(self.sizes)):
+        for q in range(len(self.sets)):
             largest = max(self.members.values(), key=len)
-            if self.labels[q] != self.labels[largest[0]] or 2 * len(largest) <= len(self.sizes):
-                yield from self.link(q)
+            if self.labels[q] != self.labels[largest[0]] or 2 * len(largest) <= len(self.sets):
+                for d in self.link(self.sets[q], int(self.labels[q])):
+                    yield q, d
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -309,20 +309,15 @@ def _searched(blocks: DataFrame, percent: int) -> DataFrame:
         at = None
         for (*key, visitor), new_docs, new_labels, new_sets in _visits(batches):
             if not visitor:
-                at = key
-                docs, sets = new_docs, new_sets
-                labels = [i if x is None else x for i, x in enumerate(new_labels)]
+                at, docs, strangers = key, new_docs, -1 - len(new_docs)
+                # without labels, negative numbers are components of their own
+                block = Block(new_sets, [-1 - i if x is None else x for i, x in enumerate(new_labels)], percent)
                 if new_labels[0] is not None:
                     continue
-                block = Block(sets, labels, percent)
                 pairs = [(docs[p], docs[q]) for p, q in block.links()]
-                labels = block.labels
             elif key == at:
-                # without labels, negative numbers are components of their own
-                block = Block([*new_sets, *sets], [-1 - i if x is None else x for i, x in enumerate(new_labels)] + labels, percent)
-                both = [*new_docs, *docs]
-                pairs = [(both[p], both[q]) for v in range(len(new_docs)) for p, q in block.link(v)]
-                labels = block.labels[len(new_docs) :]
+                pairs = [(doc, docs[d]) for i, (doc, x, s) in enumerate(zip(new_docs, new_labels, new_sets, strict=True)) for d in block.link(s, strangers - i if x is None else x)]
+                strangers -= len(new_docs)
             else:  # a block without members
                 continue
             if pairs:
@@ -341,7 +336,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     docs = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).where("_doc is not null")
     own = written(described(docs, "_doc", "_text", size, percent), "shingle-sets")
     # a table of its own, so that the join below may split the copies of one text
-    same = written(own.groupBy("n", "one", "two").agg(F.min("_doc").alias("first")), "set-classes")
+    same = written(own.groupBy("n", "one", "two").agg(F.min("_doc").alias("first"), F.count("*").alias("copies")), "set-classes")
     # equal sets are one member: the smallest document; empty ones are nobody's
     member = own.where("n > 0").select("n", "one", "two", "_doc", "rare").join(same, ["n", "one", "two"]).select("_doc", "first", "n", "rare")
     entries = member.where("_doc = first").select("_doc", "n", F.explode("rare").alias("shingle"))
@@ -369,6 +364,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     seats = written(routes.join(groups, "leader").withColumn("block", F.pmod(F.xxhash64("_doc", "leader"), F.col("blocks"))), "seats")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     pivots = seats.where("blocks > 1").where(F.pmod(F.xxhash64("_doc", F.lit(7)), F.col("members")) < PIVOTS)
+    # near copies are nearest to the text that they are copies of, which often has exact copies
+    copies = same.where("copies > 1").groupBy(F.col("first").alias("_doc")).agg(F.max("copies").alias("copies"))
+    heads = seats.where("blocks > 1").join(copies, "_doc").groupBy("leader").agg(F.max_by("_doc", F.struct("copies", "_doc")).alias("_doc"))
+    pivots = pivots.unionByName(seats.join(heads, ["leader", "_doc"], "left_semi")).distinct()
     guests = pivots.withColumnRenamed("block", "home").withColumn("block", everywhere).where("block <> home")
     columns = ["leader", "block", "_doc"]
     first = seats.select(*columns, F.lit(0).alias("visitor")).union(guests.select(*columns, F.lit(1).alias("visitor"))).withColumn("label", F.lit(None).cast("long"))
