@@ -560,3 +560,9 @@ def test_pipeline(spark):
     assert not any(brute.personal_data(r.text) for r in seen["personal_data"].collect())
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, seen["language"].where("false"), SF).count() == 0
+
+
+def test_base_of_the_language_model_comes_without_training(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "trained", lambda *_: pytest.fail("the base columns don't need the model"))
+    got, want = compared("language_model_base", spark)
+    assert got == want

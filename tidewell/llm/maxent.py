@@ -315,8 +315,8 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     return Vocabulary(hashes[order], order, top["c"].to_numpy(np.int64), int(total.n), int(total.v))
 
 
-def scored(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of `docs`.
+def scored(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", modelled: bool = True) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of `docs`; no score, and no model, unless `modelled`.
 
     The model learns from the rows where `training` holds. A null text is empty and has one
     token, its end; with nothing to learn from, all words are equally unknown. Rows stay
@@ -326,7 +326,7 @@ def scored(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
     learned = docs.where(training)
     counts = written(token_counts(learned, text), "token-counts")
     vocabulary = vocabulary_of(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, trained(learned, key, text, vocabulary)))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, trained(learned, key, text, vocabulary) if modelled else None))
     kind = docs.schema[key].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +337,7 @@ def scored(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
             for low, high, data, offsets in chunks(batch.column(1), 1 << 18):
                 token, before = tokens(data, offsets)
                 rank = vocabulary.ranks(token)
-                rows, node, child, at = decisions(vocabulary, token, rank, before)
+                rows, node, child, at = decisions(vocabulary, token, rank, before) if modelled else (None, (), None, None)
                 each = np.zeros(len(token))
                 for a in range(0, len(node), SCORED):
                     part = slice(a, a + SCORED)
@@ -362,21 +362,26 @@ def scored(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
     rest = rest.join(counts, "token", "left").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("log"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known"))
     both = parts.drop("rest").join(rest, "row", "left")
     zero = F.coalesce("log", F.lit(0.0))
-    return both.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"), (F.col("base_score") + zero).alias("base_score"), (F.col("score") + zero).alias("score"))
+    out = both.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"), (F.col("base_score") + zero).alias("base_score"), (F.col("score") + zero).alias("score"))
+    return out if modelled else out.drop("score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = scored(docs, F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return _columns(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What `query` returns of counts, which SQL can express; sums to three places, as their order differs."""
-    out = query(spark, sf_dir)
+    """What `query` returns of counts, by the same steps without the model; sums to three places, as their order differs from that of SQL."""
+    out = _columns(spark, sf_dir, modelled=False)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
 
 
+def _columns(spark: SparkSession, sf_dir: str, modelled: bool = True) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = scored(docs, F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")), modelled=modelled)
+    return out.withColumn("held_out", is_held_out(F.col("doc_id")))
+
+
 # crc32 bit by bit: each byte comes with seven zeros, and each step shifts by one
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295)"
 BASE_ORACLE = f"""
